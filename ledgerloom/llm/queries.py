@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, langid, line_dedup, quality, secrets, token_binary, warc
+from ledgerloom.llm import chat, langid, line_dedup, probminhash, quality, secrets, token_binary, warc
 from ledgerloom.runtime import table, written
 
 
@@ -47,6 +47,10 @@ def op8_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.group_documents(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size")
+
+
 def op10_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     said = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -58,7 +62,7 @@ def op10_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_prefix_targets, op2_warc_salvage, op3_language_bitmask, op4_token_files, op6_compression_bands, op8_line_minhash, op10_secret_randomness)
+    for f in (op1_chat_prefix_targets, op2_warc_salvage, op3_language_bitmask, op4_token_files, op6_compression_bands, op8_line_minhash, op9_probminhash, op10_secret_randomness)
 }
 
 ORACLE_SQL: dict[str, str] = {}
