@@ -33,49 +33,87 @@ from ledgerloom.llm.common import open_fs, ready, rows_of, session
 from ledgerloom.runtime import scratch_path, written
 
 NULL_ID = -(1 << 63)
-#: Words whose ids a worker remembers, and the words of one library call. Both bound memory only.
-CACHE_WORDS, CALL_WORDS = 300_000, 20_000
+#: Words and letter runs whose ids a worker remembers, and the words of one text given to the library. They bound memory only.
+MEMO_WORDS, MEMO_LETTERS, CALL_WORDS = 500_000, 700_000, 100
+#: What ends the last token of a word in vocabularies with word ends.
+SUFFIX = "</w>"
+#: Lower-case letters of the first 256 code points, and punctuation after them.
+_LATIN = re.compile(r"([a-zß-öø-ÿ]+)([^\w\s]*)")
 #: Python's split() also splits at these, which the tokenizer's pattern takes as ordinary characters.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: The characters of Unicode's White_Space property.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
 class WordEncoder:
-    """Ids of texts for a tokenizer whose tokens never cross white space, from a memo of words.
+    """Ids of texts for a tokenizer whose tokens never cross white space, from memos of words.
 
-    White space only separates words in such a tokenizer, so a text's ids are its words' ids in order; the library encodes each
-    distinct word once while it stays in the memo.
+    White space only separates words in such a tokenizer, so a text's ids are its words' ids in order. The library encodes each
+    distinct word once while it stays in a memo. Where the tokenizer folds case and marks word ends (its tokens end in SUFFIX), a word
+    of Latin letters with punctuation after it shares its letters' ids with all other spellings, and new letters are encoded many in
+    one call. Every other word is encoded as it is.
     """
 
     def __init__(self, path: str, dtype: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype(dtype or ("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"))
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype(dtype or ("<u2" if size <= 1 << 16 else "<u4"))
+        self.ends = np.zeros(size, bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.ends[k] = token.endswith(SUFFIX)
+        self.parts = self.ends.any() and self._ids("Ab,") == self._ids("ab") + self._ids(",")
         self.memo: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
 
-    def words(self, text: str) -> list[str]:
-        return text.split() if not _SEPARATORS.search(text) else [w for w in _SPACE.split(text) if w]
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """The ids as bytes of the dtype."""
-        words, out = self.words(text), []
-        for k in range(0, len(words), CALL_WORDS):
-            part = words[k : k + CALL_WORDS]
+    def words(self, text: str) -> list[str]:
+        if self.parts and "<|" not in text:  # folding case first changes no ids here, and is the same in all libraries
             try:
-                out.append(b"".join(map(self.memo.__getitem__, part)))
-            except KeyError:
-                self.learn(part)
-                out.append(b"".join(map(self.memo.__getitem__, part)))
-        return b"".join(out)
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.memo) > CACHE_WORDS:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text.split() if not any(c in text for c in _SEPARATORS) else [w for w in _SPACE.split(text) if w]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes of the dtype."""
+        lists = [self.words(t) for t in texts]
+        if len(self.memo) > MEMO_WORDS:
             self.memo = {}
-        missing = list({*words} - self.memo.keys())
-        for word, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.memo[word] = np.array(found.ids, self.dtype).tobytes()
+        if len(self.letters) > MEMO_LETTERS:
+            self.letters = {}
+        self.learn(set().union(*lists).difference(self.memo))
+        get = self.memo.__getitem__
+        return [b"".join(map(get, words)) for words in lists]
+
+    def learn(self, missing: set[str]) -> None:
+        memo, letters, match = self.memo, self.letters, _LATIN.fullmatch
+        split, whole = [], missing
+        if self.parts:
+            split = [m for m in map(match, missing) if m]
+            whole = missing.difference([m[0] for m in split])
+        new = list({a for m in split if (a := m[1]) not in letters})
+        if new:
+            texts = [" ".join(new[k : k + CALL_WORDS]) for k in range(0, len(new), CALL_WORDS)]
+            ids = np.concatenate([np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+            if len(cuts) != len(new):
+                raise ValueError("the tokenizer does not mark word ends")
+            data, at = ids.tobytes(), 0
+            for x, cut in zip(new, cuts.tolist(), strict=True):
+                letters[x] = data[at:cut]
+                at = cut
+        rest = [*whole, *{b for m in split if (b := m[2]) and b not in memo}]
+        if rest:
+            for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+                memo[word] = np.array(found.ids, self.dtype).tobytes()
+        for m in split:
+            w, a, b = m[0], m[1], m[2]
+            memo[w] = letters[a] + memo[b] if b else letters[a]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -111,13 +149,14 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
         fs = stream = None
         name, ids, offsets = "", [], [0]
         for batch in batches:
-            for doc_id, text in zip(*rows_of(batch, "id", "text"), strict=True):
+            ids_of, texts = rows_of(batch, "id", "text")
+            for doc_id, data in zip(ids_of, enc.encode(texts), strict=True):
                 if stream is None:
                     name = f"{folder}/tokens-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}"
                     fs, path = open_fs(name)
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
                     stream = fs.open_output_stream(f"{path}.bin", buffer_size=1 << 20)
-                data = enc.encode(text) + end
+                data += end
                 stream.write(data)
                 ids.append(NULL_ID if doc_id is None else doc_id)
                 offsets.append(offsets[-1] + len(data) // enc.dtype.itemsize)
