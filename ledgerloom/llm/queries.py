@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, langid, line_dedup, probminhash, quality, secrets, token_binary, warc
+from ledgerloom.llm import chat, decontam, langid, line_dedup, probminhash, quality, secrets, token_binary, warc
 from ledgerloom.runtime import table, written
 
 
@@ -43,6 +43,10 @@ def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op7_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -62,7 +66,7 @@ def op10_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_prefix_targets, op2_warc_salvage, op3_language_bitmask, op4_token_files, op6_compression_bands, op8_line_minhash, op9_probminhash, op10_secret_randomness)
+    for f in (op1_chat_prefix_targets, op2_warc_salvage, op3_language_bitmask, op4_token_files, op6_compression_bands, op7_qgram_lemma, op8_line_minhash, op9_probminhash, op10_secret_randomness)
 }
 
 ORACLE_SQL: dict[str, str] = {}
