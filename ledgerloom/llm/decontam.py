@@ -163,10 +163,13 @@ def matches(text: str, index: Index) -> list[tuple[int, int, int, int]]:
         ends = np.cumsum(count)
         hit = np.arange(ends[-1]) + np.repeat(lo - (ends - count), count)
         items, diagonal = owner[hit], np.repeat(p, count) - place[hit]
-        for k in np.unique(items).tolist():
+        for k in np.flatnonzero(np.bincount(items, minlength=len(index.bounds)) >= index.bounds).tolist():
             _, item, e, bound = index.items[k]
             d = diagonal[items == k]
-            if len(d) < bound:
+            shared, times = np.unique(d, return_counts=True)
+            whole = [x for x in shared[times >= len(item) + 1 - q].tolist() if np.array_equal(cp[x : x + len(item)], item)]
+            if whole:  # a diagonal without an edit: the alignment's zero
+                best[k] = (0, whole[0] + len(item), whole[0])
                 continue
             step = max(8, 2 * e)  # bands of step + e diagonals, beginning at each multiple of step
             band = d // step
