@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontam, langid, line_dedup, probminhash, quality, secrets, token_binary, warc
+from ledgerloom.llm import chat, decontam, langid, line_dedup, piece_scan, probminhash, quality, secrets, token_binary, warc
 from ledgerloom.runtime import table, written
 
 
@@ -39,6 +39,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.read_tokens(spark, store)
 
 
+def op5_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = piece_scan.encode_documents(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    decoded = piece_scan.decode_documents(encoded, _tokenizer("piece_bpe_32k.model"))
+    return decoded.select("doc_id", F.expr("length(packed) div 4").cast("long").alias("n_tokens"), F.crc32("packed").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -66,7 +72,7 @@ def op10_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_prefix_targets, op2_warc_salvage, op3_language_bitmask, op4_token_files, op6_compression_bands, op7_qgram_lemma, op8_line_minhash, op9_probminhash, op10_secret_randomness)
+    for f in (op1_chat_prefix_targets, op2_warc_salvage, op3_language_bitmask, op4_token_files, op5_piece_scan, op6_compression_bands, op7_qgram_lemma, op8_line_minhash, op9_probminhash, op10_secret_randomness)
 }
 
 ORACLE_SQL: dict[str, str] = {}
