@@ -101,7 +101,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         shared = F.size(F.array_intersect("sa", "sb"))
         return both.filter(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
-    labels = link(members, verify)
+    def tokens(ids: DataFrame) -> DataFrame:
+        wanted_sets = sets.join(ids.withColumnRenamed("id", "line_id"), "line_id", "left_semi").dropDuplicates(["line_id"])
+        return wanted_sets.select(F.col("line_id").alias("id"), F.explode("s").alias("token"), (1 / F.size("s")).alias("mass"))
+
+    labels = link(members, verify, tokens, similarity)
 
     # Every component keeps its first line.
     placed = first.join(labels.withColumnRenamed("id", "line_id"), "line_id")
