@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ready, session
+from ledgerloom.llm.common import fresh, ready, session
 
 SIZES = (3, 4)
 SLOTS_LOG2 = 21
@@ -162,7 +162,7 @@ def classify(docs: DataFrame, model: LanguageModel, text_col: str = "text", drop
     shared = spark.sparkContext.broadcast(model)
     own = ["lang_pred", "score", "coverage"]
     kept = [c for c in docs.columns if c.lower() not in own and not (drop_text and c == text_col)]
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias(fresh(docs, "__text")))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value

@@ -111,13 +111,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = first.join(labels.withColumnRenamed("id", "line_id"), "line_id")
     best = placed.groupBy("label").agg(F.min(F.struct("doc_id", "key", "line_no", "line_id")).alias("best"))
     lost = placed.join(best, "label").filter("line_id <> best.line_id").select("line_id")
-    keep = first.join(lost, "line_id", "left_anti").groupBy("key").agg(F.collect_list("line_no").alias("__keep"))
-    stays = stored.join(keep.select(F.col("key").alias(key), "__keep").hint("shuffle_hash"), key, "left")
-    lines = F.split(F.col(f"`{text_col}`"), "\n")
-    stays = stays.withColumn("__lines", lines)
-    blank = F.expr("filter(sequence(0, size(__lines) - 1), k -> trim(get(__lines, k)) = '')")
-    stays = stays.withColumn("__at", F.array_sort(F.concat(F.coalesce("__keep", F.expr("array()").cast("array<int>")), blank)))
-    text = F.when(F.col(f"`{text_col}`").isNotNull(), F.array_join(F.expr("transform(__at, k -> get(__lines, k))"), "\n"))
+    kept_, lines_, at_ = (fresh(docs, x) for x in ("__kept", "__lines", "__at"))
+    keep = first.join(lost, "line_id", "left_anti").groupBy("key").agg(F.collect_list("line_no").alias(kept_))
+    stays = stored.join(keep.select(F.col("key").alias(f"{key}_"), kept_).hint("shuffle_hash"), F.col(key) == F.col(f"{key}_"), "left").withColumn(lines_, F.split(F.col(f"`{text_col}`"), "\n"))
+    blank = F.expr(f"filter(sequence(0, size({lines_}) - 1), k -> trim(get({lines_}, k)) = '')")
+    stays = stays.withColumn(at_, F.array_sort(F.concat(F.coalesce(kept_, F.expr("array()").cast("array<int>")), blank)))
+    text = F.when(F.col(f"`{text_col}`").isNotNull(), F.array_join(F.expr(f"transform({at_}, k -> get({lines_}, k))"), "\n"))
     out = [text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in kept_cols]
-    number = F.when(F.col(f"`{text_col}`").isNotNull(), F.size("__lines")).otherwise(0)
-    return stays.select(*out, number.cast("long").alias("n_lines"), (number - F.coalesce(F.size("__at"), F.lit(0))).cast("long").alias("n_removed"))
+    there = F.col(f"`{text_col}`").isNotNull()
+    number, left = F.when(there, F.size(lines_)).otherwise(0), F.when(there, F.size(at_)).otherwise(0)
+    return stays.select(*out, number.cast("long").alias("n_lines"), (number - left).cast("long").alias("n_removed"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ready, session
+from ledgerloom.llm.common import fresh, ready, session
 
 SYMBOLS = "#*$%&|<>"
 _BLANK = " \t\n\v\f\r"
@@ -100,8 +100,8 @@ def quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the columns of COLUMNS added: base counts, whole ratio, share of bytes in bad chunks, and the verdict."""
     ready(session(docs))
     added = [c.split()[0] for c in COLUMNS.split(", ")]
-    kept = [c for c in docs.columns if c.lower() not in added and c.lower() != "__text"]
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text"))
+    kept = [c for c in docs.columns if c.lower() not in added]
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias(fresh(docs, "__text")))
     types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

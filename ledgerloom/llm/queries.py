@@ -75,4 +75,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_chat_prefix_targets, op2_warc_salvage, op3_language_bitmask, op4_token_files, op5_piece_scan, op6_compression_bands, op7_qgram_lemma, op8_line_minhash, op9_probminhash, op10_secret_randomness)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _escaped(column: str) -> str:
+    """SQL of chat.escape."""
+    out = f"replace({column}, '\\', '\\\\')"
+    for c in chat.CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_prefix_targets": f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), placed AS (
+  SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+    sum({len(chat.TURN + chat.SEP + chat.END)} + length({_escaped('role')}) + length({_escaped('text')})) OVER (w ROWS UNBOUNDED PRECEDING) AS upto
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (sum(upto) FILTER (WHERE role = 'assistant' OR k = n))::BIGINT AS formatted_chars
+FROM placed GROUP BY conv_id""",
+    "op2_warc_salvage": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages),
+digits AS (SELECT page_id, body, best, unnest(range(8)) AS i, sha1(body) AS hex FROM p),
+parts AS (SELECT page_id, body, best, i, ('0x' || substr(hex, (5 * i + 1)::BIGINT, 5))::INTEGER AS v FROM digits),
+texts AS (SELECT page_id, body, best, string_agg(
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 15) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 10) & 31) + 1, 1) ||
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v & 31) + 1, 1), '' ORDER BY i) AS digest FROM parts GROUP BY 1, 2, 3)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to FROM texts""",
+}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ready, session
+from ledgerloom.llm.common import fresh, ready, session
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -173,9 +173,9 @@ def redact(text: str, findings: list[tuple[str, int, int]], mark: str = "[SECRET
 def scan_secrets(docs: DataFrame, text_col: str = "text", redacted: bool = False) -> DataFrame:
     """docs without the text column, with secrets (array of kind, start, end); redacted keeps the text with its findings replaced."""
     ready(session(docs))
-    own = {"secrets", "redacted_text", "__text"}
+    own = {"secrets", "redacted_text"}
     kept = [c for c in docs.columns if c != text_col and c.lower() not in own]
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias(fresh(docs, "__text")))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
