@@ -352,7 +352,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
             out = [json.dumps([[s, *[x for pair in row.items() for x in pair]] for s, row in pieces.transfer(part, a, b).items()]) for part, a, b in zip(*rows_of(batch, "part", "a", "b"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(out, pa.string())], ["row", "k", "matrix"])
 
-    def scan(key, table: pa.Table) -> pa.Table:
+    def scan(key, table):
         import json
 
         table = table.sort_by("k")

@@ -33,6 +33,8 @@ ROLL_BYTES = 64 << 20
 MAX_HEADER = 1 << 16
 LEVEL = 4
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+#: The headers that every record has.
+REQUIRED = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -167,6 +169,8 @@ def _parse(data: bytes, partial: bool = False) -> tuple[dict[str, str], int, int
 
 
 def _checked(headers: dict[str, str], block: bytes) -> None:
+    if not REQUIRED <= headers.keys():
+        raise Damaged("required header")
     said = headers.get("warc-block-digest", "")
     if said and said != f"sha1:{payload_digest(block)}":
         raise Damaged("block digest")

@@ -6,6 +6,7 @@ import io
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def test_against_sql(spark, name):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name]).fetchdf()
     got = queries.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
-    clean = lambda d: sorted(tuple("" if x != x or x is None else str(int(x)) if isinstance(x, float) else str(x) for x in r) for r in d.astype(object).itertuples(index=False))
+    clean = lambda d: sorted(tuple("" if pd.isna(x) else str(int(x)) if isinstance(x, float) else str(x) for x in r) for r in d.astype(object).itertuples(index=False))
     assert clean(got) == clean(want)
 
 
@@ -80,8 +81,9 @@ def test_salvage(compress, damage):
         del data[start + 40 : start + 60]
         end -= 20
     elif damage == "junk":
-        data[start:start] = b"\x1f\x8b\x08 junk WARC/1.0 junk"
-        lost, end = set(), start + 23
+        junk = b"\x1f\x8b\x08 junk WARC/1.0 junk"
+        data[start:start] = junk
+        lost, end = set(), start + len(junk)
     elif damage == "none":
         lost = set()
     elif damage == "head":
