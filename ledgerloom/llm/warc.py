@@ -35,6 +35,7 @@ LEVEL = 4
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 #: The headers that every record has.
 REQUIRED = {"warc-type", "warc-record-id", "warc-date", "content-length"}
+VERSION_LINES = (b"WARC/1.0", b"WARC/1.1")
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -154,7 +155,7 @@ class Source:
 def _parse(data: bytes, partial: bool = False) -> tuple[dict[str, str], int, int]:
     """Headers, start of the block and its length."""
     end = data.find(b"\r\n\r\n", 0, MAX_HEADER)
-    if not data.startswith(VERSION) or end < 0:
+    if data[: data.find(b"\r\n")] not in VERSION_LINES or end < 0:
         raise Damaged("version or headers")
     headers = {}
     for line in data[:end].split(b"\r\n")[1:]:
