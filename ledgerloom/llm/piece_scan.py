@@ -32,7 +32,7 @@ from ledgerloom.runtime import written
 MARK = "▁"
 #: Characters of a chunk; longer documents are giant.
 CHUNK = 16384
-MEMO_UNITS, MEMO_PAIRS = 400_000, 1_000_000
+MEMO_UNITS, MEMO_WORDS, MEMO_PAIRS = 400_000, 300_000, 500_000
 _START, _CUT = -1, -2
 _NEVER = 1 << 62
 
@@ -62,8 +62,10 @@ class Pieces:
         self.spans = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         self.marks_lead = not any(a != MARK and b == MARK for a, b in self.spans)
         self.left, self.right = self._spines()
+        self.usable = {p: k for p, k in self.id.items() if k in self.left}
         self.pairs: dict[int, bool] = {}
         self.units: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """BPE by definition: the best-ranked, then leftmost pair merges until none is left. Symbols, and the parts of the last merge."""
@@ -143,12 +145,17 @@ class Pieces:
     def walk(self, text: str, start: int, last: int, end: int) -> dict[int, tuple[int, int, int]]:
         """From a state at start: for every place up to end, the one (piece, its start, tokens so far) that may end there."""
         table = {start: (last, start, 0)}
+        usable, longest, fit = self.usable, self.longest, self.fit
         for p in range(start + 1, end + 1):
-            for q, k in self.ending(text, p, start):
-                before = table.get(q)
-                if before is not None and self.fit(before[0], k):
-                    table[p] = (k, q, before[2] + (1 if k >= 0 else len(text[q:p].encode())))
-                    break
+            for q in range(max(start, p - longest), p):
+                k = usable.get(text[q:p])
+                if k is not None:
+                    before = table.get(q)
+                    if before is not None and (before[0] < 0 or fit(before[0], k)):
+                        table[p] = (k, q, before[2] + 1)
+                        break
+                elif q == p - 1 and q in table and text[q] not in self.id:
+                    table[p] = (-3, q, table[q][2] + len(text[q].encode()))
         return table
 
     def trace(self, text: str, table: dict, start: int, p: int) -> list[int]:
@@ -176,40 +183,41 @@ class Pieces:
 
     def between_cuts(self, text: str) -> bytes:
         """Ids of a stretch between two cuts."""
-        if not self.marks_lead or len(text) < 2:
+        head, mark, rest = text.partition(MARK)
+        if not self.marks_lead or not mark or MARK + MARK in text or text.endswith(MARK):
             return self._units(text)
-        out = []
-        for k, word in enumerate(text.split(MARK)):
-            if k:
-                word = MARK + word
-            if word:
-                out.append(word)
-        if any(w == MARK for w in out):  # runs of marks belong together
-            return self._units(text)
-        get, missing = self.units.get, []
-        found = [get(w) for w in out]
-        for k, x in enumerate(found):
-            if x is None:
-                found[k] = self.split_unit(out[k])
-        return b"".join(found)
-
-    def split_unit(self, word: str) -> bytes:
-        """Ids of a word, remembered; it is cut further where no piece can span."""
-        known = self.units.get(word)
-        if known is not None:
-            return known
-        ids = self._units(word)
-        if len(word) <= 64:
-            self.units[word] = ids
-        return ids
+        return (self._units(head) if head else b"") + self.words_after_marks(rest.split(MARK))
+
+    def words_after_marks(self, words: list[str]) -> bytes:
+        """Ids of words, none empty, each with a mark before it. Whole words are remembered too."""
+        memo = self.words
+        try:
+            return b"".join(map(memo.__getitem__, words))
+        except KeyError:
+            pass
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        for w in {*words}:
+            if w not in memo:
+                memo[w] = self._units(MARK + w)
+        return b"".join(map(memo.__getitem__, words))
 
     def _units(self, text: str) -> bytes:
-        at = [0, *(self.cuts(text, 1, len(text) - 1)), len(text)]
-        return b"".join(self.unit(text[a:b]) for a, b in zip(at, at[1:], strict=False) if b > a)
+        spans, out, a = self.spans, [], 0
+        for p in range(1, len(text)):
+            if text[p - 1 : p + 1] not in spans:
+                out.append(self.unit(text[a:p]))
+                a = p
+        out.append(self.unit(text[a:]))
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """All ids of a whole text as little-endian uint32."""
-        return self.between_cuts(MARK + text.replace(" ", MARK)) if text else b""
+        if not text:
+            return b""
+        if self.marks_lead and MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+            return self.words_after_marks(text.split(" "))
+        return self.between_cuts(MARK + text.replace(" ", MARK))
 
     def decode(self, ids: np.ndarray) -> str:
         data = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
