@@ -61,7 +61,7 @@ class Pieces:
         self.longest = max(map(len, self.id), default=1)
         self.spans = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         self.marks_lead = not any(a != MARK and b == MARK for a, b in self.spans)
-        self.left, self.right = self._spines()
+        self.left, self.right = self._chains()
         self.usable = {p: k for p, k in self.id.items() if k in self.left}
         self.pairs: dict[int, bool] = {}
         self.units: dict[str, bytes] = {}
@@ -82,7 +82,7 @@ class Pieces:
             last = (symbols[k], symbols[k + 1])
             symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
 
-    def _spines(self) -> tuple[dict, dict]:
+    def _chains(self) -> tuple[dict, dict]:
         """For each usable piece, its outermost parts on the left and on the right as it forms: (text, made at, absorbed at)."""
         parts: dict[str, tuple[str, str] | None] = {}
         for piece in sorted(self.id, key=len):
