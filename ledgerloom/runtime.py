@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -33,7 +34,18 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a written table in the shared folder: cuts lineage and survives lost executors."""
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def forget(spark: SparkSession, *tables: DataFrame | None) -> None:
+    """Deletes written tables that nothing will read again, and has Spark drop the shuffle files of finished queries."""
+    for t in tables:
+        if t is not None and getattr(t, "_written_path", None):
+            delete_path(spark, t._written_path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
