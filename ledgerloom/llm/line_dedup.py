@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import fresh, session
 from ledgerloom.llm.components import link
-from ledgerloom.runtime import scratch_path, written
+from ledgerloom.runtime import forget, scratch_path, written
 
 SHINGLE, LONG_WORD = 12, 64
 ROWS, BANDS = 3, 8
@@ -64,6 +64,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     name = f"ledgerloom_lines_{uuid.uuid4().hex}"
     keyed = docs.select(*(F.col(f"`{c}`") for c in kept_cols)).withColumn(key, F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
     keyed.repartition(n, key).write.format("parquet").option("path", scratch_path(spark, "lines")).option("compression", "zstd").bucketBy(n, key).saveAsTable(name)
+    forget(spark)
     stored = spark.table(name)
     texts = stored.select(F.col(key).alias("key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.split(F.col(f"`{text_col}`"), "\n").alias("lines"))
 
@@ -88,6 +89,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     banded = signed.select("line_id", F.explode(bands).alias("bucket")).repartition(n, "bucket")
     sized = banded.selectExpr("bucket", "line_id as id", "count(*) over (partition by bucket) as n").filter("n > 1")
     members = written(spark, sized.select("bucket", "id").distinct(), "line-buckets")
+    forget(spark)
 
     # Shingle sets of the candidates, and their verification.
     wanted = first.join(members.select(F.col("id").alias("line_id")).distinct(), "line_id", "left_semi")
@@ -105,6 +107,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         wanted_sets = sets.join(ids.withColumnRenamed("id", "line_id"), "line_id", "left_semi").dropDuplicates(["line_id"])
         return wanted_sets.select(F.col("line_id").alias("id"), F.explode("s").alias("token"), (1 / F.size("s")).alias("mass"))
 
+    forget(spark)
     labels = link(members, verify, tokens, similarity)
 
     # Every component keeps its first line.
