@@ -271,7 +271,8 @@ def read_warc(archives: DataFrame, payloads: bool = False, file_col: str = "file
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return archives.select(file_col).repartition(F.col(file_col)).mapInArrow(read, RECORD_COLUMNS)
+    n = max(1, min(archives.count(), spark.sparkContext.defaultParallelism * 4))  # a number, or the few bytes of names would all go to one task
+    return archives.select(file_col).repartition(n).mapInArrow(read, RECORD_COLUMNS)
 
 
 def warc_paths(spark: SparkSession, folder: str) -> DataFrame:
