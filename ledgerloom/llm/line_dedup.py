@@ -1,8 +1,7 @@
 r"""Line dedup by MinHash over character shingles, with DataFrame and SQL functions only.
 
-Lines are compared trimmed and in lower case. A line's shingles are character windows that start at every word and reach over SHINGLE
-characters or to the word's end, whichever is further, so they cover the line; a line with a word of over LONG_WORD characters (no
-spaces, or a blob) is cut into pieces of 8 characters first. Equal lines collapse by their hash alone. Distinct lines get ROWS * BANDS
+Lines are compared trimmed and in lower case. A line's shingles are the windows of SHINGLE characters (code points) at every character,
+with or without spaces; a shorter line is one shingle. Equal lines collapse by their hash alone. Distinct lines get ROWS * BANDS
 MinHash values; lines that agree in a band are candidates; exact Jaccard similarity of the shingle sets (as 64-bit hashes) verifies
 them; connected components keep their first line, by doc_id, then line number.
 
@@ -31,7 +30,7 @@ from ledgerloom.llm.common import fresh, session
 from ledgerloom.llm.components import link
 from ledgerloom.runtime import forget, scratch_path, written
 
-SHINGLE, LONG_WORD = 12, 64
+SHINGLE = 5
 ROWS, BANDS = 3, 8
 SIMILARITY = 0.8
 _RANDOM = random.Random(8)
@@ -43,16 +42,19 @@ def _norm(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
-def _words(norm: str) -> Column:
-    """Pieces of a line and what joins them: struct (p, sep)."""
-    plain = F.struct(F.split(F.col(norm), " ").alias("p"), F.lit(" ").alias("sep"))
-    pieces = F.struct(F.split(F.col(norm), r"(?<= )|(?<=\G.{8})").alias("p"), F.lit("").alias("sep"))
-    return F.when(F.exists(F.split(F.col(norm), " "), lambda w: F.length(w) > LONG_WORD), pieces).otherwise(plain)
+def _starts(chars: str) -> str:
+    """SQL of the places (from 0) where a shingle of the characters begins."""
+    return f"sequence(0, greatest(size({chars}) - {SHINGLE}, 0))"
 
 
-def _shingle(p: str, sep: str, k: str) -> str:
-    """SQL of the shingle at piece k (from 1)."""
-    return f"substring(concat_ws({sep}, slice({p}, {k}, {SHINGLE // 2 + 1})), 1, greatest({SHINGLE}, length(get({p}, {k} - 1))))"
+def _shingle(chars: str) -> str:
+    """SQL of the hash of the shingle at place k; places past the end are null, which the hash leaves out."""
+    return f"xxhash64({', '.join(f'get({chars}, k + {i})' for i in range(SHINGLE))})"
+
+
+def _set(norm: str) -> str:
+    """SQL of a line's distinct shingles. The line is split once, as finding a character by its number costs the line's length."""
+    return f"array_distinct(flatten(transform(array(split({norm}, '')), c -> transform({_starts('c')}, k -> {_shingle('c')}))))"
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -80,10 +82,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = texts.select("key", "lines").join(per.hint("shuffle_hash"), "key").select("key", "lines", F.explode("wanted").alias("w"))
         return found.select("key", F.col("w.line_id").alias("line_id"), F.col("w.line_no").alias("line_no"), _norm(F.expr("get(lines, w.line_no)")).alias("norm"))
 
-    pieces = lines_of(first).select("key", "line_id", "line_no", _words("norm").alias("w")).select("key", "line_id", "line_no", "w.p", "w.sep")
-    shingles = pieces.select("key", "line_id", "line_no", "p", "sep", F.explode(F.expr("sequence(1, size(p))")).alias("k"))
-    shingles = shingles.select("key", "line_id", "line_no", "k", F.expr(_shingle("p", "sep", "k")).alias("s")).filter(f"k = 1 or length(s) >= {SHINGLE}")
-    hashed = shingles.select("key", "line_id", "line_no", F.expr("xxhash64(s) & 2147483647").alias("h"))
+    chars = lines_of(first).select("key", "line_id", "line_no", F.split("norm", "").alias("c"))
+    shingles = chars.select("key", "line_id", "line_no", "c", F.explode(F.expr(_starts("c"))).alias("k"))
+    hashed = shingles.select("key", "line_id", "line_no", F.expr(f"{_shingle('c')} & 2147483647").alias("h"))
     signed = hashed.groupBy("key", "line_id", "line_no").agg(*[F.min(F.expr(f"(h * {a}) & 4294967295")).alias(f"m{k}") for k, a in enumerate(_FACTORS)])
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
     banded = signed.select("line_id", F.explode(bands).alias("bucket")).repartition(n, "bucket")
@@ -91,21 +92,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = written(spark, sized.select("bucket", "id").distinct(), "line-buckets")
     forget(spark)
 
-    # Shingle sets of the candidates, and their verification.
+    # The candidates' lines and the sizes of their shingle sets (the sets are several times larger than the lines), and verification.
     wanted = first.join(members.select(F.col("id").alias("line_id")).distinct(), "line_id", "left_semi")
-    sets = lines_of(wanted).select("line_id", _words("norm").alias("w"))
-    each = F.expr(f"transform(filter(sequence(1, size(w.p)), k -> k = 1 or length({_shingle('w.p', 'w.sep', 'k')}) >= {SHINGLE}), k -> xxhash64({_shingle('w.p', 'w.sep', 'k')}))")
-    sets = written(spark, sets.select("line_id", F.array_distinct(each).alias("s")), "line-sets")
+    sets = written(spark, lines_of(wanted).select("line_id", "norm", F.expr(f"size({_set('norm')})").alias("n")), "line-sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (sets.select(F.col("line_id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-        both = pairs.join(left, "a").join(right, "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        return both.filter(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+        left, right = (sets.select(F.col("line_id").alias(x), F.col("norm").alias(f"norm_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+        both = pairs.join(left, "a").join(right, "b").filter(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b"))  # no pair of other sizes can be as similar
+        shared = F.expr(f"array(size(array_intersect({_set('norm_a')}, {_set('norm_b')})))")
+        return both.filter(F.exists(shared, lambda x: x >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - x))).select("a", "b")
 
     def tokens(ids: DataFrame) -> DataFrame:
         wanted_sets = sets.join(ids.withColumnRenamed("id", "line_id"), "line_id", "left_semi").dropDuplicates(["line_id"])
-        return wanted_sets.select(F.col("line_id").alias("id"), F.explode("s").alias("token"), (1 / F.size("s")).alias("mass"))
+        return wanted_sets.select(F.col("line_id").alias("id"), F.explode(F.expr(_set("norm"))).alias("token"), (1 / F.col("n")).alias("mass"))
 
     forget(spark)
     labels = link(members, verify, tokens, similarity)

@@ -128,6 +128,41 @@ def test_lines_by_brute_force(spark, docs_of):
     assert rows[100]["n_lines"] == 0 and rows[109]["n_removed"] == 1
 
 
+def kept_by_grams(texts):
+    """Which one-line documents keep their line, by character 5-grams; stated without the operator's code."""
+    norm = [x.strip(" ").lower() for x in texts]
+    grams = [{x[k : k + 5] for k in range(max(1, len(x) - 4))} for x in norm]
+    sets = Sets(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                sets.join(a, b)
+    return [k for k in range(len(texts)) if sets.root(k) == k]
+
+
+def kept_by_operator(docs_of, texts):
+    return sorted(r["doc_id"] for r in line_dedup.dedup_lines(docs_of(list(enumerate(texts)))).collect() if r["n_removed"] == 0)
+
+
+def test_near_equal_lines_by_character_grams(docs_of):
+    texts = ["The committee approved the annual budget after a long debate on Tuesday.", "The committee approved the annual budgat after a long debate on Tuesday."]
+    blob = "".join(R.choice("0123456789abcdef") for _ in range(150))
+    texts += [blob, blob[:70] + "z" + blob[71:], "吾輩は猫である名前はまだ無いどこで生れたかとんと見当がつかぬ" * 3, "吾輩は犬である名前はまだ無いどこで生れたかとんと見当がつかぬ" * 3]
+    for n in (3, 8, 12, 20, 30):
+        for _ in range(8):
+            line = sentence(n)
+            at = R.randrange(len(line))
+            texts += [line, line[:at] + "z" + line[at + 1 :]]
+    want = kept_by_grams(texts)
+    assert 0 in want and 1 not in want and 3 not in want
+    assert kept_by_operator(docs_of, texts) == want
+
+
+def test_lines_by_brute_force_of_character_grams(spark, docs_of, monkeypatch):
+    monkeypatch.setitem(globals(), "line_shingles", lambda x: {x[k : k + 5] for k in range(max(1, len(x) - 4))})
+    test_lines_by_brute_force(spark, docs_of)
+
+
 def test_lines_of_empty_tables_and_repeated_rows(docs_of):
     assert line_dedup.dedup_lines(docs_of([]) if False else docs_of([(1, "a")]).limit(0)).count() == 0
     out = line_dedup.dedup_lines(docs_of([(1, "one line here"), (1, "one line here"), (2, "one line here")])).orderBy("doc_id").collect()
