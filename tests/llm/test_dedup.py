@@ -163,6 +163,13 @@ def test_lines_by_brute_force_of_character_grams(spark, docs_of, monkeypatch):
     test_lines_by_brute_force(spark, docs_of)
 
 
+def test_lines_with_distinct_tails_stay(docs_of):
+    texts = ["acknowledgement: alice", "acknowledgement: bob", "internationalization failed hard", "internationalization passed easy", "x" * 12 + " a", "x" * 12 + " b", "abcd", "abce", "ab", "a"]
+    want = kept_by_grams(texts)
+    assert {0, 1, 2, 3, 6, 7, 8, 9} <= set(want)
+    assert kept_by_operator(docs_of, texts) == want
+
+
 def test_lines_of_empty_tables_and_repeated_rows(docs_of):
     assert line_dedup.dedup_lines(docs_of([]) if False else docs_of([(1, "a")]).limit(0)).count() == 0
     out = line_dedup.dedup_lines(docs_of([(1, "one line here"), (1, "one line here"), (2, "one line here")])).orderBy("doc_id").collect()
