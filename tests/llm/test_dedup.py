@@ -249,6 +249,13 @@ def test_one_of_each_group_stays(docs_of):
     assert 300 in kept and 301 in kept and sum(k is not None and k < 300 and want[k] == first for k in kept) <= 1
 
 
+def test_documents_with_null_or_equal_ids_stay(docs_of):
+    a, b, c, d, e, f = (sentence(60) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (None, c), (7, d), (7, e), (3, changed(e, 1)), (8, f), (8, f), (None, None), (None, None)]
+    out = Counter((r["doc_id"], r["text"]) for r in probminhash.drop_near_duplicates(docs_of(rows)).collect())
+    assert out == Counter([(None, a), (None, b), (None, c), (7, d), rows[6], (8, f), (None, None), (None, None)])
+
+
 def slow_edits(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
