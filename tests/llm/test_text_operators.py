@@ -1,5 +1,6 @@
 """Language ID, quality, secrets, tokens and pieces: edge cases, brute force and round trips."""
 
+import base64
 import hashlib
 import random
 import re
@@ -87,6 +88,24 @@ def test_quality_bands_and_edges(docs_of):
     assert got[11]["ratio"] > got[10]["ratio"] and got[10]["__text"] == "x"
 
 
+def test_quality_rejects_encoded_and_random_text(docs_of):
+    r = random.Random(5)
+    words = ["".join(r.choice("eeeeettttaaaoooiiinnnsssrrhhldcu") for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+
+    def encoded(n):
+        text = base64.b64encode(r.randbytes(n * 57)).decode()
+        return "\n".join(text[k : k + 76] for k in range(0, len(text), 76))
+
+    noise = " ".join("".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(6)) for _ in range(2000))
+    bad = [encoded(n) for n in (53, 106, 1053, 3509)] + [noise, prose(7000) + "\n" + encoded(220) + "\n" + prose(7000)]
+    good = [prose(n) for n in (60, 100, 300, 1000, 10000)]
+    got = {x["doc_id"]: x for x in quality.quality(docs_of(list(enumerate(bad + good)))).collect()}
+    assert not any(x["base_failed"] for x in got.values())
+    assert [k for k, x in sorted(got.items()) if x["kept"]] == list(range(len(bad), len(bad + good)))
+    assert got[5]["ratio"] < 0.6 < got[0]["ratio"]
+
+
 # Secrets
 
 
