@@ -1,7 +1,9 @@
 """Secret scans: pattern rules and a battery of randomness tests.
 
 Pattern rules find assignments, access keys and hex strings. The battery looks at every other run of 16 or more token characters that
-mixes digits with letters. It infers the run's encoding (hex, base32, alphanumeric, base64) and asks two questions:
+mixes digits with letters. A run is parted at '=' that is not its final padding (NAME=value), and where no one encoding holds a part, at
+'_' and '-' or at '/' and '+' (names and paths beside a value). It infers a part's encoding (hex, base32, alphanumeric, base64) and asks
+two questions:
 
 * Could it be random in that encoding? Chi-squared uniformity over the alphabet, a runs test about the alphabet's middle and lag-1
   serial correlation must each fail to reject randomness.
@@ -31,6 +33,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # a maximal run of 18 or more: shorter ones fail and hide nothing
 HEX = re.compile(r"[0-9a-f]{16,}")
 LONG_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_PART = re.compile(r"[^=]{16,}")
+#: What remains between name separators (base64) and between path separators (base64url) of a part that no one encoding holds.
+_INNER = (re.compile(r"[^_-]{16,}"), re.compile(r"[^/+]{16,}"))
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _DIGIT = re.compile(r"[0-9]")
 _LETTER = re.compile(r"[A-Za-z]")
@@ -122,24 +127,38 @@ def text_p_value(run: str, size: int) -> float:
     return min(1.0, math.exp(-ratio))
 
 
+def parts(m: re.Match) -> Iterator[tuple[int, int, str]]:
+    """Start, end and characters of the parts of a run, each in one encoding; final padding is in the span but not in the characters."""
+    core = m[0].rstrip("=")
+    for part in _PART.finditer(core):
+        if infer_encoding(part[0]) is not None:
+            inner = [(part.start(), part[0])]
+        else:
+            inner = [(part.start() + x.start(), x[0]) for by in _INNER for x in by.finditer(part[0])]
+        for at, run in inner:
+            end = at + len(run)
+            yield m.start() + at, m.end() if end == len(core) else m.start() + end, run
+
+
 def random_runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Runs outside the taken spans that pass the battery and, together, the document's false-discovery control."""
     tested = []
-    for m in LONG_RUN.finditer(text):
-        a, b = m.span()
-        run = m[0].rstrip("=")
-        if len(run) < 16 or not _DIGIT.search(run) or not _LETTER.search(run) or any(x < b and a < y for x, y in taken):
-            continue
-        if (kind := infer_encoding(run)) is None:
-            tested.append((1.0, a, b, False))
+    for a, b, run in (x for m in LONG_RUN.finditer(text) for x in parts(m)):
+        if not _DIGIT.search(run) or not _LETTER.search(run) or any(x < b and a < y for x, y in taken):
             continue
-        alphabet = ENCODINGS[kind]
+        alphabet = ENCODINGS[infer_encoding(run)]
         place = {c: k for k, c in enumerate(alphabet)}
         random = min(battery([place[c] for c in run], len(alphabet))) >= ALPHA
         tested.append((text_p_value(run, len(alphabet)), a, b, random))
     tested.sort()
     last = max((k for k, (p, *_) in enumerate(tested, 1) if p <= FDR * k / len(tested)), default=0)
-    return sorted((a, b) for p, a, b, random in tested[:last] if random)
+    found: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for p, a, b, random in tested[:last] if random):
+        if found and a < found[-1][1]:  # two partings of one run
+            found[-1] = found[-1][0], max(b, found[-1][1])
+        else:
+            found.append((a, b))
+    return found
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int]]:

@@ -138,6 +138,22 @@ def test_random_runs_and_clean_text(docs_of):
     assert one["redacted_text"] == "[SECRET]" and one["secrets"][0]["kind"] == "assign"
 
 
+def test_random_runs_beside_names(docs_of):
+    r = random.Random(6)
+    standard, url = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + x for x in ("+/", "-_"))
+    draw = lambda alphabet, n=40: "".join(r.choice(alphabet) for _ in range(n))
+    for before, alphabet, after in (("AWS_SECRET_ACCESS_KEY=", standard, ""), ("sig=", standard, ""), ("AUTH=", standard[:62], "=="), ("DB_CRED=", url, "="), ("my_db-key_", standard, ""), ("https/srv/app/", url, "")):
+        hits = 0
+        for _ in range(50):
+            value = draw(alphabet)
+            text = f"set {before}{value}{after} now"
+            found = [(a, b) for k, a, b in secrets.find_secrets(text) if k == "random"]
+            hits += any(a <= text.index(value) and b >= text.index(value) + len(value + after) for a, b in found) if alphabet != standard or "=" in before else bool(found)
+        assert hits >= (44 if "=" in before else 25), (before, hits)
+    for clean in ("release_name=version-2-of-the-document-2021-01-02", "path=/usr/share/doc/python3_minimal-10/copyright+notes", "a=b=c=d=1=2=3=4=5=6=7=8", "x" * 20 + "=" * 20 + "1"):
+        assert not secrets.find_secrets(clean), clean
+
+
 def test_battery_rejects_order_and_bias():
     assert min(secrets.battery(list(range(16)) * 3, 16)) < secrets.ALPHA
     assert min(secrets.battery([0] * 40, 16)) < secrets.ALPHA
