@@ -154,7 +154,7 @@ class Source:
 
 def _parse(data: bytes, partial: bool = False) -> tuple[dict[str, str], int, int]:
     """Headers, start of the block and its length."""
-    end = data.find(b"\r\n\r\n", 0, MAX_HEADER)
+    end = data.find(b"\r\n\r\n")
     if data[: data.find(b"\r\n")] not in VERSION_LINES or end < 0:
         raise Damaged("version or headers")
     headers = {}
@@ -177,6 +177,19 @@ def _checked(headers: dict[str, str], block: bytes) -> None:
         raise Damaged("block digest")
 
 
+def _head(source: Source, at: int) -> bytes:
+    """Bytes from at that reach over the header's end, however far it is, as long as they are header lines."""
+    n = MAX_HEADER
+    while True:
+        data = source.view(at, n)
+        lines = data.split(b"\r\n")
+        if len(data) < n or b"\r\n\r\n" in data or lines[0] not in VERSION_LINES:
+            return data
+        if any(b":" not in x for x in lines[1:-1]) or (len(lines[-1]) >= MAX_HEADER and b":" not in lines[-1][:MAX_HEADER]):
+            raise Damaged("header line")
+        n *= 2
+
+
 def read_record(source: Source, at: int) -> Record:
     """The record at an offset, all checks passed; else Damaged."""
     magic = source.view(at, 7)
@@ -199,7 +212,7 @@ def read_record(source: Source, at: int) -> Record:
             raise Damaged("record length")
         block = data[start : start + n]
     elif magic == VERSION:
-        headers, start, n = _parse(source.view(at, MAX_HEADER))
+        headers, start, n = _parse(_head(source, at))
         if at + start + n + 4 > source.size:
             raise Damaged("truncated record")
         data = source.view(at, start + n + 4)

@@ -106,6 +106,16 @@ def test_salvage(compress, damage):
     assert covered[0][0] == 0 and covered[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(covered, covered[1:], strict=False))
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_headers_of_any_length_are_read(compress):
+    urls = ["https://a.example/" + "u" * n for n in (10, (1 << 16) - 400, 70_000, 1_000_000)] + ["short"]
+    data = b"".join(warc.record_bytes(k, url, b"page", warc.payload_digest(b"page"), None, compress) for k, url in enumerate(urls))
+    assert [x.headers["warc-target-uri"] for x in warc.salvage(io.BytesIO(data), len(data))] == urls
+    blob = b"WARC/1.1\r\n" + b"x" * 300_000
+    out = list(warc.salvage(io.BytesIO(blob + data), len(blob + data)))
+    assert out[0][:2] == (0, len(blob)) and len(out) == 1 + len(urls)
+
+
 def test_window_of_the_source_is_bounded():
     data = b"x" * 1000 + b"WARC/1.1" + b"y" * 1000
     s = warc.Source(io.BytesIO(data), len(data), step=64)
