@@ -221,6 +221,11 @@ def test_signatures_estimate_probability_jaccard():
     assert len(k) == 5 and sorted(w.tolist()) == sorted(c.tolist()) and max(c) > 1
 
 
+def test_recall_of_banding():
+    for s in (0.8, 0.85, 0.9):
+        assert (1 - s**probminhash.ROWS) ** probminhash.BANDS <= (1 - s**4) ** 16  # no more missed than by 4 rows x 16 bands
+
+
 def near_documents():
     base = [sentence(R.randint(40, 120)) for _ in range(15)]
     docs = [(k, changed(R.choice(base), R.randint(0, 3))) for k in range(70)]
