@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+#: By application, what results that were handed out still read: paths of written tables and names of catalog tables.
+_LATER: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", "") or _OWN_DIRS.get(app)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _OWN_DIRS[app] = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/ledgerloom-{app}"
@@ -40,7 +44,11 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(spark: SparkSession, *tables: DataFrame | None) -> None:
-    """Deletes written tables that nothing will read again, and has Spark drop the shuffle files of finished queries."""
+    """Deletes written tables that nothing will read again, and has Spark drop the shuffle files of finished queries.
+
+    Spark drops a shuffle's files when the driver's objects about it are collected as garbage, which an idle driver puts off for long;
+    hence the collection here, between two jobs.
+    """
     for t in tables:
         if t is not None and getattr(t, "_written_path", None):
             delete_path(spark, t._written_path)
@@ -48,6 +56,23 @@ def forget(spark: SparkSession, *tables: DataFrame | None) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def later(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Notes written tables (or catalog tables by name) that a result still reads, for sweep()."""
+    _LATER.setdefault(spark.sparkContext.applicationId, []).extend(t if isinstance(t, str) else t._written_path for t in tables)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all tables that results handed out before have read. Those results must have been written or dropped."""
+    for t in _LATER.pop(spark.sparkContext.applicationId, []):
+        if "/" in t:
+            delete_path(spark, t)
+        else:
+            where = spark.sql(f"DESCRIBE TABLE EXTENDED {t}").filter("col_name = 'Location'").first()[1]
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
+            delete_path(spark, where)
+    forget(spark)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder on whatever file system holds it."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
