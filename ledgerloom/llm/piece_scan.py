@@ -5,10 +5,10 @@ the two back. (Each piece's merges then finish before anything could merge acros
 last piece as state, and paths combine in the max-plus semiring: an impossible step is minus infinity, a piece weighs -1.
 
 A giant document is split into chunks at fixed places. A chunk yields the transfer matrix from the states at its left boundary (a piece
-that covers it, and how far it reaches over) to those at its right one. Matrices combine associatively along a document; that fixes the
-state at every boundary, and each chunk is then backtraced on its own. Inside a chunk, places where no piece of the vocabulary can span
+that covers it, and how far it reaches over) to those at its right one. Matrices combine associatively, in a tree over a document; that
+fixes the state at every boundary, and each chunk is then backtraced on its own. Inside a chunk, places where no piece of the vocabulary can span
 the two characters have one state, so the matrix is the product of a left part, a scalar and a right part; stretches between such
-places are remembered. Text without such places runs through the full matrix.
+places are remembered, and their ids are kept with the matrix, as no state changes them. Text without such places runs through the full matrix.
 
 Results equal the library's for BPE models with an identity normalizer and a dummy prefix, byte fallback included. Decoding is exact but
 for the space mark itself (U+2581), which decodes to a space.
@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import ready, rows_of, session
-from ledgerloom.runtime import written
+from ledgerloom.runtime import forget, later, written
 
 MARK = "▁"
 #: Characters of a chunk; longer documents are giant.
 CHUNK = 16384
+#: Chunks, or blocks of them, whose matrices one task combines.
+FAN = 64
 MEMO_UNITS, MEMO_WORDS, MEMO_PAIRS = 400_000, 300_000, 500_000
 _START, _CUT = -1, -2
 _NEVER = 1 << 62
@@ -62,7 +64,8 @@ class Pieces:
         self.spans = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         self.marks_lead = not any(a != MARK and b == MARK for a, b in self.spans)
         self.left, self.right = self._chains()
-        self.usable = {p: k for p, k in self.id.items() if k in self.left}
+        self.begins = {p[:n]: -1 for p, k in self.id.items() if k in self.left for n in range(1, len(p))}
+        self.begins |= {p: k for p, k in self.id.items() if k in self.left}
         self.pairs: dict[int, bool] = {}
         self.units: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -143,19 +146,29 @@ class Pieces:
         return [piece] if piece >= 0 else [self.byte_id[v] for v in text[start:end].encode()]
 
     def walk(self, text: str, start: int, last: int, end: int) -> dict[int, tuple[int, int, int]]:
-        """From a state at start: for every place up to end, the one (piece, its start, tokens so far) that may end there."""
+        """From a state at start: for every place up to end, the one (piece, its start, tokens so far) that may end there.
+
+        Pieces are tried from each place that a path reaches, in order, for as long as some piece begins with the characters.
+        """
         table = {start: (last, start, 0)}
-        usable, longest, fit = self.usable, self.longest, self.fit
-        for p in range(start + 1, end + 1):
-            for q in range(max(start, p - longest), p):
-                k = usable.get(text[q:p])
-                if k is not None:
-                    before = table.get(q)
-                    if before is not None and (before[0] < 0 or fit(before[0], k)):
-                        table[p] = (k, q, before[2] + 1)
-                        break
-                elif q == p - 1 and q in table and text[q] not in self.id:
-                    table[p] = (-3, q, table[q][2] + len(text[q].encode()))
+        begins, known, pairs = self.begins.get, self.id, self.pairs
+        for q in range(start, end):
+            before = table.get(q)
+            if before is None:
+                continue
+            piece, _, n = before
+            for p in range(q + 1, end + 1):
+                k = begins(text[q:p])
+                if k is None:
+                    break
+                if k >= 0 and p not in table:
+                    fits = True if piece < 0 else pairs.get(piece << 20 | k)
+                    if fits is None:
+                        fits = self.fit(piece, k)
+                    if fits:
+                        table[p] = (k, q, n + 1)
+            if q + 1 not in table and text[q] not in known:
+                table[q + 1] = (-3, q, n + len(text[q].encode()))
         return table
 
     def trace(self, text: str, table: dict, start: int, p: int) -> list[int]:
@@ -236,16 +249,15 @@ class Pieces:
                     out.append((k + 8) * 64 + p - at)
         return out
 
-    def transfer(self, text: str, a: int, b: int) -> dict[int, dict[int, int]]:
-        """The transfer matrix of text[a:b] in its context: state at a -> state at b -> minus the tokens between (absent: minus infinity)."""
+    def transfer(self, text: str, a: int, b: int) -> tuple[dict[int, dict[int, int]], int, int, bytes]:
+        """The transfer matrix of text[a:b] in its context: state at a -> state at b -> minus the tokens between (absent: minus infinity);
+        its first and last inner cut, and the ids between them, which no state changes. Without a cut the places are -1."""
         entries = [_START] if a == 0 else self.states(text, a)
         inner = self.cuts(text, a + 1, b - 1)
         ends = self.states(text, b) if b < len(text) else None
 
         def out(table: dict) -> dict[int, int]:
-            if ends is None:
-                return {_CUT: -table[b][2]} if b in table else {}
-            if ends == [_CUT]:
+            if ends is None or ends == [_CUT]:
                 return {_CUT: -table[b][2]} if b in table else {}
             found = {}
             for p in range(b, min(len(text), b + self.longest - 1) + 1):
@@ -255,33 +267,32 @@ class Pieces:
 
         reach = min(len(text), b + self.longest - 1)
         if not inner:
-            return {s: out(self.walk(text, *self._from(s, a), reach)) for s in entries}
+            return {s: out(self.walk(text, *self._from(s, a), reach)) for s in entries}, -1, -1, b""
         first, last = inner[0], inner[-1]
         right = out(self.walk(text, last, _CUT, reach))
-        middle = -(len(self.between_cuts(text[first:last])) // 4)
+        middle = self.between_cuts(text[first:last])
         matrix = {}
         for s in entries:
             start, piece = self._from(s, a)
             table = self.walk(text, start, piece, first) if start <= first else {}
             if first in table:
-                matrix[s] = {e: w + middle - table[first][2] for e, w in right.items()}
-        return matrix
+                matrix[s] = {e: w - len(middle) // 4 - table[first][2] for e, w in right.items()}
+        return matrix, first, last, middle
 
     def _from(self, state: int, a: int) -> tuple[int, int]:
         """Where a state's piece ends, and the piece."""
         return (a, state) if state in (_START, _CUT) else (a + state % 64, state // 64 - 8)
 
-    def backtrace(self, text: str, a: int, b: int, entry: int, exit_: int) -> bytes:
-        """The ids of the pieces that start in text[a:b], given the states at both boundaries."""
+    def backtrace(self, head: str, tail: str, a: int, b: int, first: int, middle: bytes, entry: int, exit_: int) -> bytes:
+        """The ids of the pieces that start in a chunk, given the states at both boundaries. head is the text up to the first inner cut,
+        in which the chunk begins at a; tail the text from the last one, in which it ends at b. Without a cut head is all the text."""
         start, piece = self._from(entry, a)
         end = b if exit_ == _CUT else b + exit_ % 64
-        inner = self.cuts(text, a + 1, b - 1)
-        if not inner:
-            return np.array(self.trace(text, self.walk(text, start, piece, end), start, end), "<u4").tobytes()
-        first, last = inner[0], inner[-1]
-        head = self.trace(text, self.walk(text, start, piece, first), start, first)
-        tail = self.trace(text, self.walk(text, last, _CUT, end), last, end)
-        return np.array(head, "<u4").tobytes() + self.between_cuts(text[first:last]) + np.array(tail, "<u4").tobytes()
+        if first < 0:
+            return np.array(self.trace(head, self.walk(head, start, piece, end), start, end), "<u4").tobytes()
+        before = self.trace(head, self.walk(head, start, piece, first), start, first)
+        after = self.trace(tail, self.walk(tail, 0, _CUT, end), 0, end)
+        return np.array(before, "<u4").tobytes() + middle + np.array(after, "<u4").tobytes()
 
 
 def combine(first: dict[int, dict[int, int]], then: dict[int, dict[int, int]]) -> dict[int, dict[int, int]]:
@@ -298,18 +309,33 @@ def combine(first: dict[int, dict[int, int]], then: dict[int, dict[int, int]]) -
     return out
 
 
-def boundary_states(matrices: list[dict[int, dict[int, int]]]) -> list[int]:
-    """The states at all boundaries of a document (one more than chunks), by a forward scan of products and a backward choice."""
-    prefix = [{_START: {_START: 0}}]
+def boundary_states(matrices: list[dict[int, dict[int, int]]], entry: int = _START, exit_: int = _CUT) -> list[int]:
+    """The states at all boundaries of neighbouring chunks (one more than chunks) between two known ones, by a forward scan of products
+    and a backward choice."""
+    prefix = [{entry: {entry: 0}}]
     for m in matrices:
         prefix.append(combine(prefix[-1], m))
-    states = [_CUT]
+    states = [exit_]
     for k in range(len(matrices) - 1, -1, -1):
-        row = prefix[k][_START]
+        row = prefix[k][entry]
         states.append(max((s for s in row if states[-1] in matrices[k].get(s, {})), key=lambda s: row[s] + matrices[k][s][states[-1]]))
     return states[::-1]
 
 
+def flat(matrix: dict[int, dict[int, int]]) -> list[int]:
+    """A matrix as integers: per row its state, its entries' number, and the entries."""
+    return [x for s, row in matrix.items() for x in (s, len(row), *(y for entry in row.items() for y in entry))]
+
+
+def unflat(data: list[int]) -> dict[int, dict[int, int]]:
+    out, at = {}, 0
+    while at < len(data):
+        s, n = data[at : at + 2]
+        out[s] = dict(zip(data[at + 2 : at + 2 + 2 * n : 2], data[at + 3 : at + 2 + 2 * n : 2], strict=True))
+        at += 2 + 2 * n
+    return out
+
+
 def chunk_places(n: int, chunk: int = CHUNK) -> list[int]:
     """Boundaries of a normalized text of n characters; the last chunk is never shorter than half of one."""
     k = max(1, (2 * n) // (2 * chunk)) if n % chunk >= chunk // 2 or n < chunk else n // chunk
@@ -326,7 +352,41 @@ def loaded(path: str) -> Pieces:
     return _LOADED[path]
 
 
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def _scan(matrices: DataFrame, fan: int) -> DataFrame:
+    """row, k, entry, exit: the states at both boundaries of every chunk of (row, k, matrix), as a written table.
+
+    Up the tree, the products of fan neighbours are formed until each document is one block; down it, the states at a block's boundaries
+    give those between its children. A task holds fan matrices of a block at a time, however long the document.
+    """
+    spark = session(matrices)
+    levels = [matrices]
+
+    def product(key, table):
+        table = table.sort_by("k")
+        out = unflat(table["matrix"][0].as_py())
+        for m in table["matrix"].to_pylist()[1:]:
+            out = combine(out, unflat(m))
+        return pa.table({"row": table["row"].slice(0, 1), "k": pa.array([key[1].as_py()], pa.int64()), "matrix": pa.array([flat(out)], pa.list_(pa.int64()))})
+
+    while levels[-1].agg(F.max("k")).first()[0]:
+        blocks = levels[-1].groupBy("row", F.expr(f"k div {fan}").alias("block")).applyInArrow(product, "row long, k long, matrix array<long>")
+        levels.append(written(spark, blocks, "products"))
+
+    def between(key, table):
+        table = table.sort_by("k")
+        states = boundary_states([unflat(m) for m in table["matrix"].to_pylist()], table["entry"][0].as_py(), table["exit"][0].as_py())
+        return pa.table({"row": table["row"], "k": table["k"], "entry": pa.array(states[:-1], pa.int64()), "exit": pa.array(states[1:], pa.int64())})
+
+    states = written(spark, levels[-1].select("row", "k", F.lit(_START).cast("long").alias("entry"), F.lit(_CUT).cast("long").alias("exit")), "states")
+    for level in levels[-2::-1]:
+        blocks = level.withColumn("block", F.expr(f"k div {fan}")).join(states.withColumnRenamed("k", "block"), ["row", "block"])
+        before, states = states, written(spark, blocks.groupBy("row", "block").applyInArrow(between, "row long, k long, entry long, exit long"), "states")
+        forget(spark, before)
+    forget(spark, *levels[1:])
+    return states
+
+
+def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """doc_id and packed: all ids of the whole text as little-endian uint32, end to end."""
     spark = session(docs)
     ready(spark)
@@ -353,33 +413,34 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     chunks = written(spark, giant.mapInArrow(split, "row long, doc_id long, k long, part string, a long, b long"), "chunks")
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
         pieces = loaded(model)
         for batch in batches:
-            out = [json.dumps([[s, *[x for pair in row.items() for x in pair]] for s, row in pieces.transfer(part, a, b).items()]) for part, a, b in zip(*rows_of(batch, "part", "a", "b"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(out, pa.string())], ["row", "k", "matrix"])
-
-    def scan(key, table):
-        import json
-
-        table = table.sort_by("k")
-        matrices = [{r[0]: dict(zip(r[1::2], r[2::2], strict=True)) for r in json.loads(m)} for m in table["matrix"].to_pylist()]
-        states = boundary_states(matrices)
-        return pa.table({"row": table["row"], "k": table["k"], "entry": pa.array(states[:-1], pa.int64()), "exit": pa.array(states[1:], pa.int64())})
-
-    states = chunks.mapInArrow(matrix, "row long, k long, matrix string").groupBy("row").applyInArrow(scan, "row long, k long, entry long, exit long")
-    # a piece that ends past the boundary belongs to the chunk where it starts
+            found = []
+            for part, a, b in zip(*rows_of(batch, "part", "a", "b"), strict=True):
+                m, first, last, middle = pieces.transfer(part, a, b)
+                head, tail = (part, "") if first < 0 else (part[:first], part[last:])
+                found.append((flat(m), head, tail, a, b if first < 0 else b - last, first, middle))
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.list_(pa.int64()), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("k"), *columns], ["row", "doc_id", "k", "matrix", "head", "tail", "a", "b", "first", "middle"])
+
+    transfers = written(spark, chunks.mapInArrow(matrix, "row long, doc_id long, k long, matrix array<long>, head string, tail string, a long, b long, first long, middle binary"), "transfers")
+    forget(spark, chunks)
+    states = _scan(transfers.select("row", "k", "matrix"), fan)
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
         for batch in batches:
-            packed = [pieces.backtrace(*x) for x in zip(*rows_of(batch, "part", "a", "b", "entry", "exit"), strict=True)]
+            packed = [pieces.backtrace(*x) for x in zip(*rows_of(batch, "head", "tail", "a", "b", "first", "middle", "entry", "exit"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("k"), pa.array(packed, pa.binary())], ["row", "doc_id", "k", "packed"])
 
-    traced = chunks.join(states, ["row", "k"]).mapInArrow(back, "row long, doc_id long, k long, packed binary")
-    whole = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "packed"))).alias("parts"))
-    whole = whole.select("doc_id", F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x["packed"])).alias("packed"))
+    def joined(key, table):
+        table = table.sort_by("k")
+        return pa.table({"doc_id": table["doc_id"].slice(0, 1), "packed": pa.array([b"".join(table["packed"].to_pylist())], pa.binary())})
+
+    later(spark, transfers, states)
+    # a piece that ends past the boundary belongs to the chunk where it starts
+    traced = transfers.drop("matrix").join(states, ["row", "k"]).mapInArrow(back, "row long, doc_id long, k long, packed binary")
+    whole = traced.groupBy("row").applyInArrow(joined, "doc_id long, packed binary")
     return rows.filter(length < chunk).mapInArrow(small, "doc_id long, packed binary").unionByName(whole)
 
 

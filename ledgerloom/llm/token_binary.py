@@ -6,8 +6,8 @@ Layout of a token store (one folder):
 * ``tokens-*.off``  int64 offsets, one more than documents, local to the file;
 * ``tokens-*.doc``  int64 document ids (the smallest int64 stands for a null id).
 
-A manifest row per file holds its place in document order and its base: the ids of all files before it, a prefix sum over the
-files' totals. Documents are range-partitioned by id and sorted inside a partition, so the files in manifest order hold the
+A manifest row per file holds its place in document order (partition and turn) and its base: the ids of all files before it, a prefix
+sum over the files' totals. A partition's files roll at FILE_BYTES. Documents are range-partitioned by id and sorted inside a partition, so the files in manifest order hold the
 corpus in ascending doc_id order. File names are unique to a task attempt and the manifest lists only files of attempts that
 Spark committed, so lost executors, retries and speculation leave nothing but unlisted files.
 
@@ -30,15 +30,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import open_fs, ready, rows_of, session
-from ledgerloom.runtime import scratch_path, written
+from ledgerloom.runtime import forget, scratch_path, written
 
 NULL_ID = -(1 << 63)
 #: Words and letter runs whose ids a worker remembers, and the words of one text given to the library. They bound memory only.
 MEMO_WORDS, MEMO_LETTERS, CALL_WORDS = 500_000, 700_000, 100
+#: Bytes of ids after which a file rolls, and documents whose offsets a task holds.
+FILE_BYTES, FLUSH_DOCS = 1 << 30, 100_000
 #: What ends the last token of a word in vocabularies with word ends.
 SUFFIX = "</w>"
-#: Lower-case letters of the first 256 code points, and punctuation after them.
-_LATIN = re.compile(r"([a-zß-öø-ÿ]+)([^\w\s]*)")
+#: Lower-case letters of the first 256 code points, and ASCII punctuation after them: nothing that a normalizer could compose.
+_LATIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-^`{-~]*)")
 #: Python's split() also splits at these, which the tokenizer's pattern takes as ordinary characters.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: The characters of Unicode's White_Space property.
@@ -50,8 +52,8 @@ class WordEncoder:
 
     White space only separates words in such a tokenizer, so a text's ids are its words' ids in order. The library encodes each
     distinct word once while it stays in a memo. Where the tokenizer folds case and marks word ends (its tokens end in SUFFIX), a word
-    of Latin letters with punctuation after it shares its letters' ids with all other spellings, and new letters are encoded many in
-    one call. Every other word is encoded as it is.
+    of Latin letters with ASCII punctuation after it shares its letters' ids with all other spellings, and new letters are encoded many
+    in one call. Every other word, any with a combining mark among them, is encoded by the library as it is.
     """
 
     def __init__(self, path: str, dtype: str | None = None):
@@ -131,14 +133,14 @@ def encoder(path: str) -> WordEncoder:
 
 @dataclass(frozen=True)
 class TokenStore:
-    """A written store: its folder and its manifest (part, file, width, n_docs, n_ids, base)."""
+    """A written store: its folder and its manifest (part, turn, file, width, n_docs, n_ids, base)."""
 
     folder: str
     manifest: DataFrame
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> TokenStore:
-    """Encodes every whole text, appends end_id, and writes the store."""
+def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> TokenStore:
+    """Encodes every whole text, appends end_id, and writes the store, in files that roll once they reach file_bytes."""
     spark = session(docs)
     ready(spark)
     folder = folder or scratch_path(spark, "tokens")
@@ -146,35 +148,52 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         end = np.array([end_id], enc.dtype).tobytes()
-        fs = stream = None
-        name, ids, offsets = "", [], [0]
+        part, streams, held, n_docs, n_ids, name, turn = TaskContext.get().partitionId(), [], [], 0, 0, "", 0
+
+        def flush() -> None:
+            streams[1].write(np.array([x for _, x in held], "<i8").tobytes())
+            streams[2].write(np.array([x for x, _ in held], "<i8").tobytes())
+            held.clear()
+
+        def close() -> pa.RecordBatch:
+            flush()
+            for s in streams:
+                s.close()
+            streams.clear()
+            row = {"part": part, "turn": turn, "file": name, "width": enc.dtype.itemsize, "n_docs": n_docs, "n_ids": n_ids}
+            return pa.RecordBatch.from_pylist([row], schema=pa.schema([(k, pa.string() if k == "file" else pa.int64()) for k in row]))
+
         for batch in batches:
             ids_of, texts = rows_of(batch, "id", "text")
             for doc_id, data in zip(ids_of, enc.encode(texts), strict=True):
-                if stream is None:
-                    name = f"{folder}/tokens-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}"
+                if not streams:
+                    name, n_docs, n_ids = f"{folder}/tokens-{part:08d}-{uuid.uuid4().hex}", 0, 0
                     fs, path = open_fs(name)
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
-                    stream = fs.open_output_stream(f"{path}.bin", buffer_size=1 << 20)
-                data += end
-                stream.write(data)
-                ids.append(NULL_ID if doc_id is None else doc_id)
-                offsets.append(offsets[-1] + len(data) // enc.dtype.itemsize)
-        if stream is not None:
-            stream.close()
-            for ending, values in (("off", offsets), ("doc", ids)):
-                with fs.open_output_stream(f"{path}.{ending}") as f:
-                    f.write(np.array(values, "<i8").tobytes())
-            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "file": name, "width": enc.dtype.itemsize, "n_docs": len(ids), "n_ids": offsets[-1]}], schema=pa.schema([("part", pa.int64()), ("file", pa.string()), ("width", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+                    streams.extend(fs.open_output_stream(f"{path}.{x}", buffer_size=1 << 20) for x in ("bin", "off", "doc"))
+                    streams[1].write(np.zeros(1, "<i8").tobytes())
+                streams[0].write(data)
+                streams[0].write(end)
+                n_docs, n_ids = n_docs + 1, n_ids + len(data) // enc.dtype.itemsize + 1
+                held.append((NULL_ID if doc_id is None else doc_id, n_ids))
+                if len(held) >= FLUSH_DOCS:
+                    flush()
+                if n_ids * enc.dtype.itemsize >= file_bytes:
+                    yield close()
+                    turn += 1
+        if streams:
+            yield close()
+
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    files = written(spark, ordered.mapInArrow(write, "part long, file string, width long, n_docs long, n_ids long"), "token-files")
+    columns = "part long, turn long, file string, width long, n_docs long, n_ids long"
+    files = written(spark, ordered.mapInArrow(write, columns), "token-files")
     total, out = 0, []
-    for r in files.orderBy("part").collect():  # a row per file, not per document
+    for r in files.orderBy("part", "turn").collect():  # a row per file, not per document
         out.append((*r, total))
         total += r["n_ids"]
-    return TokenStore(folder, spark.createDataFrame(out, "part long, file string, width long, n_docs long, n_ids long, base long"))
+    forget(spark, files)
+    return TokenStore(folder, spark.createDataFrame(out, f"{columns}, base long"))
 
 
 def _mapped(name: str, dtype: str) -> np.ndarray:

@@ -182,6 +182,27 @@ def test_token_files_round_trip(spark, docs_of, tmp_path):
     assert token_binary.read_tokens(spark, empty).count() == 0
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("abeiAEé.,'! \t\u0301\u0327\u0308\u0345\u200d\ufb01\u0130\u00b5\u1e9e\u0391\u03a3\u0915\u093f\u1100\u1161中\u00a0\u2003\x1c<|>"), max_size=20))
+def test_words_equal_the_library(word_encoder, text):
+    assert word_encoder.encode([text]) == [word_encoder._ids(text)]
+
+
+@pytest.fixture(scope="module")
+def word_encoder():
+    return token_binary.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_token_files_roll(spark, docs_of, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = docs_of([(k, f"some words of document {k} " * 20) for k in range(40)])
+    store = token_binary.write_tokens(docs, path, end_id=2, folder=str(tmp_path / "rolled"), file_bytes=1000)
+    assert store.manifest.count() > 10
+    whole = token_binary.read_tokens(spark, token_binary.write_tokens(docs, path, end_id=2)).orderBy("doc_id").collect()
+    assert token_binary.read_tokens(spark, store).orderBy("doc_id").collect() == whole
+    assert [r["start"] for r in whole][1:] == [r["start"] + r["n_tokens"] for r in whole][:-1]
+
+
 # Pieces
 
 
@@ -211,9 +232,13 @@ def test_scan_equals_the_library(vocabulary, text, chunk):
     for a, b in zip(at, at[1:], strict=False):
         lo, hi = max(0, a - side), min(len(full), b + side)
         parts.append((full[lo:hi], a - lo, b - lo))
-    matrices = [own.transfer(*p) for p in parts]
-    states = piece_scan.boundary_states(matrices)
-    out = b"".join(own.backtrace(*p, s, e) for p, s, e in zip(parts, states, states[1:], strict=False))
+    found = [own.transfer(*p) for p in parts]
+    matrices = [piece_scan.unflat(piece_scan.flat(m)) for m, *_ in found]
+    assert matrices == [m for m, *_ in found]
+    states, out = piece_scan.boundary_states(matrices), b""
+    for (part, a, b), (_, first, last, middle), entry, exit_ in zip(parts, found, states, states[1:], strict=False):
+        head, tail, end = (part, "", b) if first < 0 else (part[:first], part[last:], b - last)
+        out += own.backtrace(head, tail, a, end, first, middle, entry, exit_)
     assert np.frombuffer(out, "<u4").tolist() == library.encode(text)
     if len(matrices) > 2:
         left = piece_scan.combine(piece_scan.combine(matrices[0], matrices[1]), matrices[2])
@@ -224,7 +249,7 @@ def test_piece_documents(spark, docs_of, vocabulary):
     _, library = vocabulary
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = docs_of([*ODD, (30, "giant words without end " * 4000), (31, "ab" * 30000)])
-    out = piece_scan.decode_documents(piece_scan.encode_documents(docs, path), path).collect()
+    out = piece_scan.decode_documents(piece_scan.encode_documents(docs, path, chunk=1024, fan=3), path).collect()
     key = lambda i, t: (i is None, i or 0, t or "")
     want = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda x: key(*x))
     got = sorted(out, key=lambda r: key(r["doc_id"], r["text"]))
