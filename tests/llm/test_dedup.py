@@ -356,8 +356,32 @@ def test_alignment_by_brute_force():
         item, text = ("".join(R.choice("abc") for _ in range(R.randint(3, 12))) for _ in range(2))
         text = text * 2
         a, b = (np.array([ord(c) for c in x], np.uint32) for x in (item, text))
-        edits, end = decontam.align(a, b, -len(item), len(item) * 2 + len(text))
-        assert edits == slow_edits(item, text) and 0 <= end <= len(text)
+        edits, end = decontam.align([a, a], b, [-len(item), 0], [len(item) * 2 + len(text), 1], [len(item), 0])
+        assert edits[0] == slow_edits(item, text) and 0 <= end[0] <= len(text)
+        assert edits[1] == (0 if text.startswith(item) else 1)
+
+
+def test_items_with_a_common_instruction_cost_little():
+    import time
+
+    instruction = "answer the following question with the letter of the one right choice of the four"
+    plain = lambda n: " ".join("".join(R.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(R.randint(2, 8))) for _ in range(n))
+    items = [(k, f"{instruction} {plain(12)}") for k in range(2000)]
+    index = decontam.build([*items, (5000, items[0][1])])
+    text = " ".join(f"{plain(10)} {instruction}" for _ in range(100))
+    decontam.matches("warm " + items[1][1], index)
+    began = time.process_time()
+    assert decontam.matches(text, index) == []
+    found = decontam.matches(f"{text} {items[7][1][:-1]}q {items[0][1]}", index)
+    assert time.process_time() - began < 2
+    assert [(index.items[k].ids, e) for k, _, _, e in found] == [([0, 5000], 0), ([7], 1)]
+
+
+def test_short_items_match_as_whole_words():
+    index = decontam.build([(1, "Paris, France"), (2, "art")], short=True)
+    assert [index.items[k].ids for k, *_ in decontam.matches("In paris france we start.", index)] == [[1]]
+    assert [index.items[k].ids for k, *_ in decontam.matches("the ART of parisfrance", index)] == [[2]]
+    assert decontam.build([(1, "Paris, France")]).items == []
 
 
 def test_blocks_cover_all_items(spark, docs_of, monkeypatch):
