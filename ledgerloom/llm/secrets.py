@@ -1,15 +1,17 @@
 """Secret scans: pattern rules and a battery of randomness tests.
 
-Pattern rules find assignments, access keys and hex strings. The battery looks at every other run of 16 or more token characters that
-mixes digits with letters. A run is parted at '=' that is not its final padding (NAME=value), and where no one encoding holds a part, at
-'_' and '-' or at '/' and '+' (names and paths beside a value). It infers a part's encoding (hex, base32, alphanumeric, base64) and asks
-two questions:
-
-* Could it be random in that encoding? Chi-squared uniformity over the alphabet, a runs test about the alphabet's middle and lag-1
-  serial correlation must each fail to reject randomness.
-* Could it be ordinary text? The likelihood ratio of the uniform source against a text source bounds the p-value of text by
-  exp(-ratio) (Markov's inequality), so a short run needs a far better ratio per character than a long one: the control is
-  length-aware. Benjamini-Hochberg at FDR over all runs of the document decides; every run counts as a test.
+Pattern rules find assignments, access keys and hex strings. The battery looks at every other run of 16 or more token characters with a
+letter in it (digits alone are numbers). A run is parted at '=' that is not its final padding (NAME=value), and where no one encoding
+holds a part, at '_' and '-' or at '/' and '+' (names and paths beside a value). It infers a part's encoding, the narrowest alphabet that
+holds it (hex, letters of one case, base32, alphanumeric, base64), and asks of every part:
+
+* Is it random in that encoding? Chi-squared uniformity over the alphabet, a runs test about the alphabet's middle and lag-1 serial
+  correlation give three p-values; three times the smallest bounds their joint one, the battery's p. Below ALPHA the part is not random.
+* Is it ordinary text? The likelihood ratio of the uniform source against a text source, times the battery's p, has a mean of at most one
+  under the text source, so its inverse bounds the p-value of text (Markov's inequality): a part that the battery doubts needs so much
+  more evidence against text. Benjamini-Hochberg at FDR over all parts of the document decides, weighted by length: a part's level is
+  in proportion to its share of the document's tested characters (weights of mean one keep the rate), as short parts, of which there
+  are many, are seldom secrets.
 
 Defined results: null text is the empty text; no findings is an empty array. Very long texts are scanned whole. Spans are code points,
 end exclusive. Repeated rows keep their own results; other columns stay, except that own result names replace clashing ones.
@@ -37,16 +39,17 @@ _PART = re.compile(r"[^=]{16,}")
 #: What remains between name separators (base64) and between path separators (base64url) of a part that no one encoding holds.
 _INNER = (re.compile(r"[^_-]{16,}"), re.compile(r"[^/+]{16,}"))
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-_DIGIT = re.compile(r"[0-9]")
 _LETTER = re.compile(r"[A-Za-z]")
 
-#: Level at which each test of the battery rejects randomness, and the false-discovery rate of a document's findings.
+#: Level at which the battery rejects randomness, and the false-discovery rate of a document's findings.
 ALPHA, FDR = 0.001, 0.0001
 
 #: Encodings from narrow to wide, each with its alphabet in value order.
 ENCODINGS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "UPPER": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "lower36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "UPPER36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -116,8 +119,13 @@ def battery(values: list[int], size: int) -> tuple[float, float, float]:
 
 
 def text_p_value(run: str, size: int) -> float:
-    """A bound on the chance that the text source makes a run at least this favourable to the uniform source over size symbols."""
+    """A bound on the chance that the text source makes a run at least this favourable to the uniform source over size symbols.
+
+    A run without lower-case letters is held against text in capitals.
+    """
     within, step = _text_source()
+    if run.upper() == run:
+        run = run.lower()
     ratio = 0.0
     before = ""
     for c in run:
@@ -140,20 +148,31 @@ def parts(m: re.Match) -> Iterator[tuple[int, int, str]]:
             yield m.start() + at, m.end() if end == len(core) else m.start() + end, run
 
 
+def decide(tested: list[tuple[float, float, int]]) -> list[bool]:
+    """Which parts are discoveries, of (text's p-value bound, the battery's p, length): weighted Benjamini-Hochberg at FDR."""
+    total = sum(n for _, _, n in tested)
+    # the battery's p enters the statistic, the length its level
+    p = [min(1.0, text / max(battery_p, 1e-300)) * total / (n * len(tested)) for text, battery_p, n in tested]
+    order = sorted(range(len(p)), key=p.__getitem__)
+    last = max((k for k, i in enumerate(order, 1) if p[i] <= FDR * k / len(p)), default=0)
+    found = {i for i in order[:last] if tested[i][1] >= ALPHA}
+    return [i in found for i in range(len(p))]
+
+
 def random_runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Runs outside the taken spans that pass the battery and, together, the document's false-discovery control."""
-    tested = []
+    spans, tested = [], []
     for a, b, run in (x for m in LONG_RUN.finditer(text) for x in parts(m)):
-        if not _DIGIT.search(run) or not _LETTER.search(run) or any(x < b and a < y for x, y in taken):
+        if not _LETTER.search(run) or any(x < b and a < y for x, y in taken):
             continue
         alphabet = ENCODINGS[infer_encoding(run)]
-        place = {c: k for k, c in enumerate(alphabet)}
-        random = min(battery([place[c] for c in run], len(alphabet))) >= ALPHA
-        tested.append((text_p_value(run, len(alphabet)), a, b, random))
-    tested.sort()
-    last = max((k for k, (p, *_) in enumerate(tested, 1) if p <= FDR * k / len(tested)), default=0)
+        p = text_p_value(run, len(alphabet))
+        # parts that are likely text count as tests, but need no battery: dividing by a p cannot make them discoveries
+        joint = min(1.0, 3 * min(battery([alphabet.index(c) for c in run], len(alphabet)))) if p <= FDR else 1.0
+        spans.append((a, b))
+        tested.append((p, joint, len(run)))
     found: list[tuple[int, int]] = []
-    for a, b in sorted((a, b) for p, a, b, random in tested[:last] if random):
+    for a, b in sorted(x for x, yes in zip(spans, decide(tested), strict=True) if yes):
         if found and a < found[-1][1]:  # two partings of one run
             found[-1] = found[-1][0], max(b, found[-1][1])
         else:
@@ -174,7 +193,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
         joined = "\n".join(long_words)
         if HEX.search(joined):
             found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-        if any(_DIGIT.search(w) for w in long_words):
+        if LONG_RUN.search(joined):
             found += [(a, 3, b) for a, b in random_runs(text, [(a, b) for a, _, b in found])]
     return [(KINDS[k], a, b) for a, k, b in sorted(found)]
 

@@ -132,12 +132,42 @@ def test_random_runs_and_clean_text(docs_of):
     assert hits >= 95
     for clean in ("version-2-of-the-document-2021-01-02", "customer_account_number_12345", "http-request-handler-v2-beta", "iPhone14ProMaxSilicone2022", "a" * 500 + "1", "1111111111111111a"):
         assert not secrets.find_secrets(clean) or secrets.find_secrets(clean) == slow_base(clean)
+    assert secrets.scan_secrets(docs_of(ODD).limit(0)).count() == 0
     got = secrets.scan_secrets(docs_of([*ODD, (20, "token = abcdefghijkl.")]), redacted=True).collect()
     assert len(got) == len(ODD) + 1
     one = next(x for x in got if x["doc_id"] == 20)
     assert one["redacted_text"] == "[SECRET]" and one["secrets"][0]["kind"] == "assign"
 
 
+def test_recall_by_encoding_and_length():
+    """Planted keys of each encoding, letters alone among them, and text in one piece."""
+    r = random.Random(9)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    for alphabet in (upper + "234567", upper + lower, upper + lower + "0123456789+/", upper + "0123456789", lower + "0123456789"):
+        for n, least in ((16, 0.75), (24, 0.9), (40, 0.97)):
+            found = sum(any(k == "random" for k, *_ in secrets.find_secrets("a " + "".join(r.choice(alphabet) for _ in range(n)) + " b")) for _ in range(200))
+            assert found >= least * 200, (alphabet, n, found)
+    words = "internationalization donaudampfschifffahrtsgesellschaft getElementsByTagNameAndAttribute THISISANUPPERCASESENTENCEWITHOUTSPACES abcdefghijklmnopqrstuvwxyz xxxxxxxxxxxxxxxxxxxxxxxxxxx llanfairpwllgwyngyllgogerychwyrndrobwllllantysiliogogoch"
+    for w in words.split():
+        assert secrets.find_secrets(f"a {w} b") == [], w
+
+
+def test_control_by_brute_force():
+    """decide() restated: the largest k whose k smallest weighted p-values are within FDR * k / m."""
+    r = random.Random(11)
+    for _ in range(200):
+        tested = [(10 ** -r.uniform(0, 12), 10 ** -r.uniform(0, 4), r.randint(16, 90)) for _ in range(r.randint(1, 12))]
+        m, total = len(tested), sum(n for *_, n in tested)
+        p = [min(1.0, t / q) / (n * m / total) for t, q, n in tested]
+        best = 0
+        for k in range(1, m + 1):
+            if sum(x <= secrets.FDR * k / m for x in p) >= k:
+                best = k
+        want = [x <= secrets.FDR * best / m and q >= secrets.ALPHA and best > 0 for x, (_, q, _) in zip(p, tested, strict=True)]
+        assert secrets.decide(tested) == want
+    assert secrets.decide([]) == []
+
+
 def test_random_runs_beside_names(docs_of):
     r = random.Random(6)
     standard, url = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + x for x in ("+/", "-_"))
