@@ -5,13 +5,14 @@ with or without spaces; a shorter line is one shingle. Equal lines collapse by 1
 lines that agree in a band are candidates; exact Jaccard similarity of the shingle sets (as 64-bit hashes) verifies them; connected
 components keep their first line, by doc_id, then line number.
 
-Signatures: every shingle is hashed once. The SKETCH smallest hashes, a uniform sample of the set, are ordered anew by several disjoint
-ranges of their bits (the permutations); in each, the ROWS values that follow an anchor, round the end, are a band: the smallest ones of
-a shifted permutation, so two lines agree in it with about the probability similarity^ROWS. Sets under 20 shingles take shorter runs, by
-three classes of size, and those just above a class's border are filed in both, so that similar lines always share a class.
+Signatures: every shingle is hashed once, and a band is ROWS values that follow an anchor in the sorted hashes, round the end: the
+smallest ones of a rotated permutation, so two lines agree in it with about the probability similarity^ROWS. Sets of fewer than SMALL
+shingles have too few separate runs for that; they are also ordered by other bits of their hashes (more permutations). Sets under 20
+shingles take shorter runs, by classes of size, and those just above a class's border are filed in both, so that similar lines always
+share a class.
 
-Recall of banding, by simulation: 0.97 at a similarity of 0.8 for 250 shingles (0.99 for 100 and fewer), 0.995 at 0.85, 1.00 at 0.9.
-Candidates that are not yet connected, in buckets of many, are filed again by 16 rows (see components.link), with a recall over 0.95.
+Recall of banding, by simulation: 0.97 or more at a similarity of 0.8, 0.99 at 0.85, 1.00 at 0.9. Candidates that are not yet connected,
+in buckets of many, are filed again by 16 rows (see components.link), with a recall over 0.95.
 
 Plan: documents are written once, bucketed by a 128-bit key of doc_id and text; the three later passes over texts (distinct lines,
 candidates, the result) join small per-document lists to that table without moving texts. Hot lines are pre-aggregated before the
@@ -35,12 +36,12 @@ from ledgerloom.runtime import forget, later, scratch_path, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Smallest hashes of a set that its signatures see, the longest run of a band, and the anchors of a permutation.
-SKETCH, ROWS, ANCHORS = 96, 8, 8
-#: The permutations, by how far each shifts the hashes.
-SHIFTS = (18, 29, 40, 51)
-#: The same of the second filing, whose permutations are by seed.
-AGAIN_SKETCH, AGAIN_ROWS, AGAIN_ANCHORS, AGAIN_SEEDS = 256, 16, 16, 16
+#: The longest run of a band, and the anchors of the first permutation.
+ROWS, ANCHORS = 8, 32
+#: Sets of fewer shingles have more permutations, by how far each shifts the hashes, with so many anchors each.
+SMALL, SHIFTS, SMALL_ANCHORS = 256, (18, 29, 40), 8
+#: The second filing: its longest run, and its permutations, by seed, of so many of the smallest hashes, with their anchors.
+AGAIN_ROWS, AGAIN_SEEDS, AGAIN_SKETCH, AGAIN_ANCHORS = 16, 16, 256, 16
 #: A set takes a run only with at least so many times as many shingles; smaller ones take runs of half the length, and so on.
 PER_RUN = 2.5
 
@@ -59,13 +60,9 @@ def _set(norm: str) -> str:
     return f"array_distinct({_hashes(norm)})"
 
 
-def _sketched(lines: DataFrame, size: int) -> DataFrame:
-    """lines with s, the sorted size smallest distinct hashes of norm's shingles, in place of norm."""
-    look = 2 * size  # most lines have that many distinct ones among twice as many; the others are looked through whole
-    sorted_ = lines.withColumn("h", F.expr(f"sort_array({_hashes('norm')})")).drop("norm")
-    looked = sorted_.withColumn("s", F.expr(f"array_distinct(slice(h, 1, {look}))"))
-    enough = F.expr(f"CASE WHEN size(s) >= {size} OR size(h) <= {look} THEN slice(s, 1, {size}) ELSE slice(array_distinct(h), 1, {size}) END")
-    return looked.withColumn("s", enough).drop("h")
+def _sorted(lines: DataFrame) -> DataFrame:
+    """lines with s, the sorted distinct hashes of norm's shingles, in place of norm."""
+    return lines.withColumn("s", F.expr(f"array_distinct(sort_array({_hashes('norm')}))")).drop("norm")
 
 
 def _classes(rows: int, similarity: float) -> list[tuple[int, str]]:
@@ -79,22 +76,31 @@ def _classes(rows: int, similarity: float) -> list[tuple[int, str]]:
     return out
 
 
-def _banded(sketches: DataFrame, permutations: list[str], rows: int, anchors: int, similarity: float) -> DataFrame:
-    """sketches (..., s) with bands, the bucket keys of all permutations (SQL of a value x of s), in place of s."""
+def _places(anchors: int) -> list[int]:
+    """So many even places over all signed 64-bit numbers, in order."""
     step = (1 << 64) // anchors
-    at = [k * step + step // 3 - (1 << 63) for k in range(anchors)]
+    return [k * step + step // 3 - (1 << 63) for k in range(anchors)]
+
+
+def _banded(sets: DataFrame, permutations: list[tuple[str, int]], rows: int, similarity: float) -> DataFrame:
+    """id and bands (bucket keys) of sets (id, s). permutations: SQL of the array of s that each orders, and its anchors.
+
+    Each projection has a function that code generation leaves out: the generated code of a whole stage would be one method too long to
+    be compiled, while projections by themselves are split into short ones.
+    """
+    own = F.expr("get(transform(array(id), x -> x), 0)").alias("id")
     names = range(len(permutations))
-    others = [c for c in sketches.columns if c != "s"]
-    permuted = sketches.select(*others, "s", *[F.expr(f"sort_array(transform(s, x -> {p}))").alias(f"p{k}") for k, p in enumerate(permutations)])
-    marks = f"array({', '.join(f'{a}L' for a in at)})"
-    ring = permuted.select(*others, "s", *[F.expr(f"concat(p{k}, slice(p{k}, 1, {rows}))").alias(f"r{k}") for k in names], *[F.expr(f"sort_array(concat(p{k}, {marks}))").alias(f"m{k}") for k in names])
+    runs = ", ".join(f"CASE WHEN {within} THEN array({run}) ELSE cast(array() as array<int>) END" for run, within in _classes(rows, similarity))
+    filed = sets.select("id", "s", F.expr(f"explode(concat({runs}))").alias("run"))
+    ordered = filed.select("id", "run", *[F.expr(f"sort_array({p})").alias(f"p{k}") for k, (p, _) in enumerate(permutations)])
+    marks = [f"array({', '.join(f'{a}L' for a in _places(n))})" for _, n in permutations]
+    ring = ordered.select(own, "run", *[F.expr(f"concat(p{k}, slice(p{k}, 1, {rows}))").alias(f"r{k}") for k in names], *[F.expr(f"sort_array(concat(p{k}, {marks[k]}))").alias(f"m{k}") for k in names])
     # of the anchor's place among values and anchors, the anchors before it are taken off: that is where its run begins
-    begins = ring.select(*others, "s", *[f"r{k}" for k in names], *[F.expr(f"cast(array_position(m{k}, {a}L) as int) - {j}").alias(f"b{k}_{j}") for k in names for j, a in enumerate(at)])
-    filed = []
-    for run, within in _classes(rows, similarity):
-        keys = [f"xxhash64({k}, {j}, {run}, slice(r{k}, b{k}_{j}, {run}))" for k in names for j in range(anchors)]
-        filed.append(f"CASE WHEN {within} THEN array({', '.join(keys)}) ELSE cast(array() as array<bigint>) END")
-    return begins.select(*others, F.expr(f"concat({', '.join(filed)})").alias("bands"))
+    at = {(k, j): F.expr(f"cast(array_position(m{k}, {a}L) as int) - {j}").alias(f"b{k}_{j}") for k, (_, n) in enumerate(permutations) for j, a in enumerate(_places(n))}
+    begins = ring.select(own, "run", *[f"r{k}" for k in names], *at.values())
+    keyed = begins.select(own, *[F.expr(f"size(r{k})").alias(f"n{k}") for k in names], *[F.expr(f"xxhash64({k}, run, slice(r{k}, b{k}_{j}, run))").alias(f"k{k}_{j}") for k, j in at])
+    whole = [f"CASE WHEN n{k} > 0 THEN array({', '.join(f'k{i}_{j}' for i, j in at if i == k)}) ELSE cast(array() as array<bigint>) END" for k in names]
+    return keyed.select(own, F.expr(f"array_distinct(concat({', '.join(whole)}))").alias("bands"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -129,8 +135,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = texts.select("key", "key2", "lines").join(per.hint("shuffle_hash"), ["key", "key2"]).select("lines", F.explode("wanted").alias("w"))
         return found.select(F.col("w.id").alias("id"), _norm(F.expr("get(lines, w.line_no)")).alias("norm"))
 
-    shifted = [f"shiftleft(x, {s})" for s in SHIFTS]
-    bands = written(spark, _banded(_sketched(lines_of(first), SKETCH), shifted, ROWS, ANCHORS, similarity), "bands")
+    small = [(f"transform(CASE WHEN size(s) < {SMALL} THEN s ELSE cast(array() as array<bigint>) END, x -> coalesce(shiftleft(x, {k}), 0L))", SMALL_ANCHORS) for k in SHIFTS]
+    bands = written(spark, _banded(_sorted(lines_of(first)), [("s", ANCHORS), *small], ROWS, similarity), "bands")
     forget(spark)
     members = shared_buckets(bands)
     forget(spark, bands)
@@ -147,9 +153,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return both.filter(F.exists(shared, lambda x: x >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - x))).select("a", "b")
 
     def again(ids: DataFrame) -> DataFrame:
-        seeded = [f"xxhash64(x, {k})" for k in range(AGAIN_SEEDS)]
-        sketches = _sketched(sets.join(ids, "id", "left_semi").select("id", "norm"), AGAIN_SKETCH)
-        filed = written(spark, _banded(sketches, seeded, AGAIN_ROWS, AGAIN_ANCHORS, similarity), "bands-again")
+        seeded = [(f"transform(slice(s, 1, {AGAIN_SKETCH}), x -> xxhash64(x, {k}))", AGAIN_ANCHORS) for k in range(AGAIN_SEEDS)]
+        sorted_ = _sorted(sets.join(ids, "id", "left_semi").select("id", "norm"))
+        filed = written(spark, _banded(sorted_, seeded, AGAIN_ROWS, similarity), "bands-again")
         found = shared_buckets(filed)
         forget(spark, filed)
         return found
