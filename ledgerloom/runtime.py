@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+#: Seconds between two forced collections of garbage, and when the last one was.
+COLLECT_S, _collected = 4.0, 0.0
 #: By application, what results that were handed out still read: paths of written tables and names of catalog tables.
 _LATER: dict[str, list[str]] = {}
 
@@ -47,13 +50,16 @@ def forget(spark: SparkSession, *tables: DataFrame | None) -> None:
     """Deletes written tables that nothing will read again, and has Spark drop the shuffle files of finished queries.
 
     Spark drops a shuffle's files when the driver's objects about it are collected as garbage, which an idle driver puts off for long;
-    hence the collection here, between two jobs.
+    hence the collection here, between two jobs, but not more often than every COLLECT_S seconds.
     """
+    global _collected
     for t in tables:
         if t is not None and getattr(t, "_written_path", None):
             delete_path(spark, t._written_path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _collected >= COLLECT_S:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
 
 
 def later(spark: SparkSession, *tables: DataFrame | str) -> None:
