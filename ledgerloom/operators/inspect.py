@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerloom.functions.expressions import GENESIS, ns_to_rfc3339, shortened
 from ledgerloom.operators.verify import with_entry_hash
+from ledgerloom.plans.global_lag import previous_in
 
 
 def wal_stats(ledger: DataFrame, order: tuple[str, ...] = ("segment", "line_no"), by: str | None = None) -> DataFrame:
     """Counts, first and last in file order, signatures, streams, receipts, and whether the chain is intact; per by, or for all."""
     keys = [by] if by else []
     rows = ledger if "entry_hash" in ledger.columns else with_entry_hash(ledger)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = rows.withColumn("__linked", F.col("prev_hash") == F.coalesce(F.lag("entry_hash").over(w), F.lit(GENESIS)))
+    rows = previous_in(rows, keys, list(order), ["entry_hash"])
+    rows = rows.withColumn("__linked", F.col("prev_hash") == F.coalesce("prev_entry_hash", F.lit(GENESIS)))
     place = F.struct(*order)
     return rows.groupBy(*keys).agg(
         F.count("*").alias("total_events"),

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerloom.functions.expressions import GENESIS
 from ledgerloom.operators.verify import with_entry_hash
+from ledgerloom.plans.global_lag import previous_in
 
 TEMPLATES = ("dora", "nis2", "generic")
 
@@ -19,8 +19,8 @@ def analyze(ledger: DataFrame, order: tuple[str, ...] = ("segment", "line_no"),
     """
     keys = [by] if by else []
     rows = ledger if entry_column in ledger.columns else with_entry_hash(ledger)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    prev = {c: F.lag(c).over(w) for c in (entry_column, "sequence", "timestamp_ns")}
+    rows = previous_in(rows, keys, list(order), [entry_column, "sequence", "timestamp_ns"])
+    prev = {c: F.col(f"prev_{c}") for c in (entry_column, "sequence", "timestamp_ns")}
     rows = rows.select(*keys, *order, "sequence", "signature", (F.col("prev_hash") == F.coalesce(prev[entry_column], F.lit(GENESIS))).alias("linked"), (F.col("sequence") != prev["sequence"] + 1).alias("gap"), (prev["sequence"] + 1).alias("missing"), (F.col("timestamp_ns") < prev["timestamp_ns"]).alias("back"))
     listed = lambda flag, value: F.transform(F.sort_array(F.collect_list(F.when(flag, F.struct(*order, F.col(value).alias("v"))))), lambda x: x["v"])
     return rows.groupBy(*keys).agg(F.count("*").alias("total_events"), F.count("signature").alias("signatures_found"), F.coalesce(F.bool_and("linked"), F.lit(True)).alias("chain_intact"), listed(F.col("gap"), "missing").alias("sequence_gaps"), listed(F.col("back"), "sequence").alias("timestamp_regressions"))

@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerloom.functions import ed25519
 from ledgerloom.functions.expressions import GENESIS, hash_problems, normal_root, receipt_message
 from ledgerloom.functions.hashing import entry_hash, payload_hash, signature_ok
 from ledgerloom.operators.root import chain_root
-from ledgerloom.plans.global_lag import with_previous
+from ledgerloom.plans.global_lag import previous_in, with_previous
+from ledgerloom.runtime import written
 
 #: Error tags in the order of a row's checks.
 RANKS = {"parse_error": 0, "invalid_genesis": 1, "chain_break": 3, "sequence_gap": 4, "timestamp_regression": 5, "invalid_signature": 6, "invalid_hash_format": 7, "payload_mismatch": 8, "root_mismatch": 9}
@@ -32,10 +32,10 @@ def with_entry_hash(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("entry_hash", entry_hash("sequence", "timestamp_ns", "prev_hash", "payload_hash"))
 
 
-def cli_findings(ledger: DataFrame, stream: str | None = None, order: tuple[str, ...] = ("segment", "line_no"), check_payload: bool = True, one_chain: bool = False) -> DataFrame:
+def cli_findings(ledger: DataFrame, stream: str | None = None, order: tuple[str, ...] = ("segment", "line_no"), check_payload: bool = True) -> DataFrame:
     """Findings (stream, order columns, sequence, check_rank, error_type, details) of a ledger.
 
-    stream: the column that separates chains; None chains the whole directory, for which one_chain spreads the order over tasks.
+    stream: the column that separates chains; None chains the whole directory, in one order that is spread over tasks.
     check_payload also re-hashes payloads where there are any.
     """
     keys = [stream] if stream else []
@@ -44,12 +44,7 @@ def cli_findings(ledger: DataFrame, stream: str | None = None, order: tuple[str,
     rows = ledger.filter("parse_error IS NULL")
     if "entry_hash" not in rows.columns:
         rows = with_entry_hash(rows)
-    wanted = ["entry_hash", "sequence", "timestamp_ns"]
-    if one_chain and not stream:
-        rows = with_previous(rows, list(order), wanted)
-    else:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        rows = rows.withColumns({f"prev_{c}": F.lag(c).over(w) for c in wanted})
+    rows = previous_in(rows, keys, list(order), ["entry_hash", "sequence", "timestamp_ns"])
     first = F.col("prev_sequence").isNull()
     seq = F.col("sequence").cast("string")
     signed = F.col("signature").isNotNull() & F.col("public_key").isNotNull()
@@ -109,7 +104,7 @@ def record_errors(records: DataFrame, keys: DataFrame, server_key: tuple[str, st
 
     keys: key_id, trusted_key (hex). server_key: key id and hex key that receipts must be signed with.
     """
-    rows = with_entry_hash(records).join(F.broadcast(keys), "key_id", "left")  # a caller's key registry
+    rows = with_entry_hash(records).join(keys, "key_id", "left")
     rows = rows.withColumn("__p", payload_hash(F.col("payload"), F.col("hash_alg"))).withColumn("__s", signature_ok("trusted_key", "entry_hash", "signature"))
     hash_error = F.when(F.col("__p.error").isNotNull(), F.concat(F.lit("Payload has no canonical form: "), F.col("__p.error"))).when(
         F.col("__p.hash") != F.col("payload_hash"), F.concat(F.lit("Hash mismatch: computed "), F.left("__p.hash", F.lit(16)), F.lit("... != stored "), F.left("payload_hash", F.lit(16)), F.lit("..."))
@@ -137,17 +132,16 @@ def chain_findings(checked: DataFrame, stream: str | None = "stream_id", strict_
     keys = [stream] if stream else []
     order = ["segment", "line_no"] if strict_file_order else ["sequence", "segment", "line_no"]
     own = checked.filter("error IS NOT NULL").select(*keys, "segment", "line_no", "sequence", F.lit(0).alias("check_rank"), F.col("status").alias("error_type"), F.col("error").alias("details"))
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = checked.filter("error IS NULL").select("*", F.lag("entry_hash", 1, GENESIS).over(w).alias("__hash"), F.lag("sequence", 1, 0).over(w).alias("__seq"), F.lag("ts_client_raw").over(w).alias("__ts"))
-    seq, before = F.col("sequence"), F.col("__seq")
+    rows = previous_in(checked.filter("error IS NULL"), keys, order, ["entry_hash", "sequence", "ts_client_raw"])
+    seq, before = F.col("sequence"), F.coalesce("prev_sequence", F.lit(0))
     checks = [
         _finding((seq == 1) & (F.col("prev_hash") != GENESIS), 1, "chain", F.lit("First record has invalid prev_hash (expected genesis)")),
-        _finding((seq != 1) & (F.col("prev_hash") != F.col("__hash")), 2, "chain", F.lit("Chain break: prev_hash doesn't match previous entry hash")),
+        _finding((seq != 1) & (F.col("prev_hash") != F.coalesce("prev_entry_hash", F.lit(GENESIS))), 2, "chain", F.lit("Chain break: prev_hash doesn't match previous entry hash")),
         _finding((before > 0) & (seq <= before), 3, "chain", F.concat(_text("Sequence not monotonic: %s <= %s", seq.cast("string"), before.cast("string")), F.lit(" (strict file order: records out of order in file)" if strict_file_order else ""))),
         _finding((before > 0) & (seq != before + 1), 4, "chain", _text("Sequence gap: expected %s, got %s", (before + 1).cast("string"), seq.cast("string"))),
     ]
     if strict_timestamps:
-        checks.append(_finding(F.col("ts_client_raw") < F.col("__ts"), 5, "chain", F.lit("Timestamp not monotonic: current < previous")))
+        checks.append(_finding(F.col("ts_client_raw") < F.col("prev_ts_client_raw"), 5, "chain", F.lit("Timestamp not monotonic: current < previous")))
     good = rows.select(*keys, "segment", "line_no", "sequence", F.explode(F.array_compact(F.array(*checks))).alias("f")).select(*keys, "segment", "line_no", "sequence", "f.*")
     return own.unionByName(good)
 
@@ -186,9 +180,23 @@ def trusted_keys(records: DataFrame, root_key_id: str, root_key: bytes) -> dict[
     return trusted
 
 
+def verify_wal(records: DataFrame, keys: DataFrame, server_key: tuple[str, str] | None = None, stream: str | None = "stream_id", strict_timestamps: bool = True, strict_file_order: bool = False) -> DataFrame:
+    """chain_summary of records (iter_records), each checked first against keys (key_id, trusted_key)."""
+    checked = written(records.sparkSession, record_errors(records, keys, server_key), "checked")
+    return chain_summary(checked, stream, strict_timestamps, strict_file_order)
+
+
+def verify_wal_with_root(records: DataFrame, root_key_id: str, root_key: bytes, server_key: tuple[str, str] | None = None, **how) -> DataFrame:
+    """verify_wal with the keys that verified rotations lead to from the root key, with key_rotations and trusted_keys (their ids)."""
+    trusted = trusted_keys(records, root_key_id, root_key)
+    keys = records.sparkSession.createDataFrame([(k, v.hex()) for k, v in trusted.items()], "key_id string, trusted_key string")
+    out = verify_wal(records, keys, server_key, **how)
+    return out.select("*", F.lit(len(trusted) - 1).cast("long").alias("key_rotations"), F.array(*map(F.lit, sorted(trusted))).alias("trusted_keys"))
+
+
 def revoked(records: DataFrame, revocations: DataFrame) -> DataFrame:
     """Records signed after their key's valid_until (revocations: key_id, valid_until as ISO text, compared as text)."""
-    return records.join(F.broadcast(revocations), "key_id").filter(F.col("ts_client_raw") > F.col("valid_until"))
+    return records.join(revocations, "key_id").filter(F.col("ts_client_raw") > F.col("valid_until"))
 
 
 # Profile node

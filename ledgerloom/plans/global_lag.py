@@ -13,6 +13,14 @@ from pyspark.sql.window import Window
 from ledgerloom.runtime import written
 
 
+def previous_in(rows: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """rows with prev_<column> of the row before of the same keys; without keys, of the row before in the global order."""
+    if not keys:
+        return with_previous(rows, order, columns)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns})
+
+
 def with_previous(rows: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
     """rows with prev_<column> of the row before in the global order (null for the first)."""
     spark = rows.sparkSession

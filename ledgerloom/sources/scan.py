@@ -32,12 +32,16 @@ def read_lines(spark: SparkSession, path: str, profile: str = "cli", glob: str |
     Profile cli_strict reads the side files as segments too; sdk reads segment_*.jsonl; node segment_current.jsonl.
     """
     pattern = glob or {"sdk": "segment_*.jsonl", "node": "segment_current.jsonl"}.get(profile, "*.{wal,jsonl}")
-    files = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", False).load(path)
-    files = files.select(F.col("_metadata.file_name").alias("segment"), F.col("_metadata.file_size").alias("segment_bytes"), "value")
+    text = spark.read.format("text").option("lineSep", "\n").option("pathGlobFilter", pattern).option("recursiveFileLookup", False).load(path)
+    rows = text.select(F.col("_metadata.file_name").alias("segment"), F.col("_metadata.file_size").alias("segment_bytes"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), "value")
+    # a segment may be read by many tasks: lines are numbered within their split, and splits get the number of lines before them
+    splits = rows.groupBy("segment", "__block").agg(F.min("__id").alias("__least"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("segment").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = rows.join(splits.select("segment", "__block", "__least", before.alias("__before")), ["segment", "__block"])
     if profile != "cli_strict":
-        files = files.filter(~F.col("segment").isin(*SIDE_FILES))
-    lines = files.select("segment", "segment_bytes", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    return lines.filter(F.regexp_replace("line", r"\s", "") != "").select("segment", "segment_bytes", (F.col("pos") + 1).cast("long").alias("line_no"), F.regexp_replace("line", r"\r$", "").alias("line"))
+        numbered = numbered.filter(~F.col("segment").isin(*SIDE_FILES))
+    line_no = (F.col("__before") + F.col("__id") - F.col("__least") + 1).cast("long")
+    return numbered.filter(F.regexp_replace("value", r"\s", "") != "").select("segment", "segment_bytes", line_no.alias("line_no"), F.regexp_replace("value", r"\r$", "").alias("line"))
 
 
 def parse_entries(lines: DataFrame, profile: str = "cli") -> DataFrame:

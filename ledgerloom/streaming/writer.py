@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ledgerloom.functions.expressions import GENESIS
-from ledgerloom.operators.append import SCHEMA, link_rows
+from ledgerloom.operators.append import SCHEMA, link_batch
 from ledgerloom.runtime import ship
 
 STATE = StructType([StructField("seq", LongType()), StructField("prev_hash", StringType())])
@@ -27,9 +26,9 @@ class ChainWriter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         part = pd.concat(list(rows)).sort_values(["timestamp_ns", "event_id"], kind="stable")
-        seq, prev = self.state.get() if self.state.exists() else (0, GENESIS)
-        out = pd.DataFrame(list(link_rows(part, key[0], seq, prev, self.seed, self.key_id)))
-        self.state.update((int(out["seq"].iloc[-1]), out["entry_hash"].iloc[-1]))
+        states = {key[0]: tuple(self.state.get())} if self.state.exists() else {}
+        out = pd.DataFrame(link_batch(part, states, self.seed, self.key_id))
+        self.state.update(states[key[0]])
         yield out[[c.split()[0] for c in SCHEMA.split(", ")]]
 
     def close(self) -> None:

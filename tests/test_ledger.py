@@ -62,8 +62,7 @@ def test_empty_directory_is_valid(spark, tmp_path):
     assert s["valid"] and s["events_verified"] == 0 and s["chain_root"] == ""
 
 
-@pytest.mark.parametrize("one_chain", [False, True])
-def test_cli_findings(spark, tmp_path, one_chain):
+def test_cli_findings(spark, tmp_path):
     r = chain(8)
     r[2]["prev_hash"] = "f" * 64  # breaks its link, its signature and its successor's link
     r[4]["sig_client"] = r[4]["sig_client"][:10] + "0000000000" + r[4]["sig_client"][20:]
@@ -71,7 +70,7 @@ def test_cli_findings(spark, tmp_path, one_chain):
     del r[5]
     path = write(tmp_path, [*r[:3], "", "   \t ", '{"event": "incomplete_json_no_closing', *r[3:], '{"event_id": "evt_123", "seq": 1}'])
     want = [("chain_break", 3), ("invalid_signature", 3), ("chain_break", 4), ("invalid_signature", 5), ("chain_break", 7), ("sequence_gap", 7), ("payload_mismatch", 7), ("parse_error", None), ("parse_error", 1)]
-    assert kinds(cli(spark, path, one_chain=one_chain)) == sorted(want, key=str)
+    assert kinds(cli(spark, path)) == sorted(want, key=str)
 
 
 def test_genesis_and_formats(spark, tmp_path):
