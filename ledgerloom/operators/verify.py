@@ -12,7 +12,7 @@ from ledgerloom.functions import ed25519
 from ledgerloom.functions.expressions import GENESIS, hash_problems, normal_root, receipt_message
 from ledgerloom.functions.hashing import entry_hash, payload_hash, signature_ok
 from ledgerloom.operators.root import chain_root
-from ledgerloom.plans.global_lag import previous_in, with_previous
+from ledgerloom.plans.global_lag import previous_in
 from ledgerloom.runtime import written
 
 #: Error tags in the order of a row's checks.
@@ -70,7 +70,12 @@ def cli_findings(ledger: DataFrame, stream: str | None = None, order: tuple[str,
 
 def first_finding(findings: DataFrame, order: tuple[str, ...] = ("segment", "line_no")) -> DataFrame:
     """What fail-fast reports."""
-    return findings.orderBy(*order, "check_rank").limit(1)
+    return first_findings(findings, 1, order)
+
+
+def first_findings(findings: DataFrame, n: int = 5, order: tuple[str, ...] = ("segment", "line_no")) -> DataFrame:
+    """The first n findings, in the order of rows and of a row's checks: what is shown of many."""
+    return findings.orderBy(*order, "check_rank").limit(n)
 
 
 def cli_summary(ledger: DataFrame, expected_root: str | None = None, check_payload: bool = False) -> DataFrame:
@@ -202,15 +207,16 @@ def revoked(records: DataFrame, revocations: DataFrame) -> DataFrame:
 # Profile node
 
 
-def node_verify(records: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """One row: status (EMPTY, TAMPERED, INCOMPLETE, VERIFIED), count, first_seq, last_seq, root_hash, missing_ranges."""
+def node_verify(records: DataFrame, start: str | None = None, end: str | None = None, by: str | None = None) -> DataFrame:
+    """One row, or one per by: status (EMPTY, TAMPERED, INCOMPLETE, VERIFIED), count, first_seq, last_seq, root_hash, missing_ranges."""
     if start is not None:
         records = records.filter(F.col("ts_client_raw") >= start)
     if end is not None:
         records = records.filter(F.col("ts_client_raw") <= end)
     order = ["sequence", "segment", "line_no"]
     rows = with_entry_hash(records).withColumn("__p", payload_hash(F.col("payload"), F.lit("blake3"), "node"))
-    rows = with_previous(rows.withColumn("sig_ok", F.when(F.col("public_key").isNotNull(), signature_ok("public_key", "entry_hash", "signature"))), order, ["entry_hash", "sequence"])
+    keys = [by] if by else []
+    rows = previous_in(rows.withColumn("sig_ok", F.when(F.col("public_key").isNotNull(), signature_ok("public_key", "entry_hash", "signature"))), keys, order, ["entry_hash", "sequence"])
     seq, before = F.col("sequence"), F.coalesce("prev_sequence", F.lit(0))
     tampered = (
         ((seq == 1) & F.col("prev_sequence").isNull() & (F.col("prev_hash") != GENESIS))
@@ -220,10 +226,10 @@ def node_verify(records: DataFrame, start: str | None = None, end: str | None =
     )
     gap = F.when(seq != before + 1, F.struct((before + 1).alias("from"), (seq - 1).alias("to")))
     lead_gap = F.when(F.col("prev_sequence").isNull() & (seq > 1), F.struct(F.lit(1).cast("long").alias("from"), (seq - 1).alias("to")))
-    facts = rows.select("sequence", "segment", "line_no", "entry_hash", tampered.alias("t"), F.array_compact(F.array(lead_gap, gap)).alias("gaps")).agg(
+    facts = rows.select(*keys, "sequence", "segment", "line_no", "entry_hash", tampered.alias("t"), F.array_compact(F.array(lead_gap, gap)).alias("gaps")).groupBy(*keys).agg(
         F.count("*").alias("count"), F.min("sequence").alias("first_seq"), F.max("sequence").alias("last_seq"), F.bool_or("t").alias("t"),
         F.max_by("entry_hash", F.struct(*order)).alias("root"), F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.size("gaps") > 0, F.struct(*order, "gaps")))), lambda x: x["gaps"])).alias("gaps"),
     )
     status = F.when(F.col("count") == 0, "EMPTY").when(F.col("t"), "TAMPERED").when(F.size("gaps") > 0, "INCOMPLETE").otherwise("VERIFIED")
     shown = status.isin("INCOMPLETE", "VERIFIED")
-    return facts.select(status.alias("status"), "count", "first_seq", "last_seq", F.when(shown, F.col("root")).alias("root_hash"), F.when(status == "INCOMPLETE", F.col("gaps")).alias("missing_ranges"))
+    return facts.select(*keys, status.alias("status"), "count", "first_seq", "last_seq", F.when(shown, F.col("root")).alias("root_hash"), F.when(status == "INCOMPLETE", F.col("gaps")).alias("missing_ranges"))

@@ -14,8 +14,9 @@ from ledgerloom.operators import append, attest, export, inspect, report, sync,
 from ledgerloom.operators.root import chain_root
 from ledgerloom.plans.global_lag import with_previous
 from ledgerloom.plans.ledger_view import LEDGER_SQL, dead_letters, ledger_view, receipt_log
-from ledgerloom.runtime import ship, table
-from ledgerloom.sources.scan import latest
+from ledgerloom.runtime import scratch_path, ship, table, written
+from ledgerloom.sources.keys import key_table
+from ledgerloom.sources.scan import RECEIPT, latest, read_ledger, read_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,10 +102,22 @@ def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _findings(spark, sf_dir).groupBy("error_type").agg(F.count("*").alias("n")).unionByName(rows)
 
 
-@query("SELECT stream_id, sequence, 'sequence_gap' AS error_type FROM lagged WHERE sequence <> prev_seq + 1 ORDER BY stream_id, sequence LIMIT 1")
+_ALL_FINDINGS = """
+  SELECT stream_id, sequence, 1 AS rank, 'invalid_genesis' AS error_type FROM lagged WHERE prev_seq IS NULL AND sequence <> 1
+  UNION ALL SELECT stream_id, sequence, 2, 'invalid_genesis' FROM lagged WHERE prev_seq IS NULL AND prev_hash <> repeat('0', 64)
+  UNION ALL SELECT stream_id, sequence, 3, 'chain_break' FROM lagged WHERE prev_hash <> prev_link
+  UNION ALL SELECT stream_id, sequence, 4, 'sequence_gap' FROM lagged WHERE sequence <> prev_seq + 1
+  UNION ALL SELECT stream_id, sequence, 5, 'timestamp_regression' FROM lagged WHERE timestamp_ns < prev_ts"""
+
+
+@query(f"SELECT stream_id, sequence, error_type FROM ({_ALL_FINDINGS}) ORDER BY stream_id, sequence, rank LIMIT 1")
 def fail_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gaps = _findings(spark, sf_dir).filter("error_type = 'sequence_gap'")
-    return verify.first_finding(gaps, ("stream_id", "sequence")).select("stream_id", "sequence", "error_type")
+    return verify.first_finding(_findings(spark, sf_dir), ("stream_id", "sequence")).select("stream_id", "sequence", "error_type")
+
+
+@query(f"SELECT stream_id, sequence, error_type FROM ({_ALL_FINDINGS}) ORDER BY stream_id, sequence, rank LIMIT 5")
+def first_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.first_findings(_findings(spark, sf_dir), 5, ("stream_id", "sequence")).select("stream_id", "sequence", "error_type")
 
 
 @query("""SELECT stream_id, sequence, count(*) AS n FROM (SELECT stream_id, sequence + CASE WHEN event_id % 109 = 0 THEN -1 ELSE 0 END AS sequence FROM ledger) GROUP BY 1, 2 HAVING count(*) > 1""")
@@ -352,11 +365,10 @@ for _template in report.TEMPLATES:
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("seq"), F.col("event_id").alias("line_no"), (F.col("event_id") % 3 == 0).alias("synced"), (F.col("event_id") % 5).cast("int").alias("sync_attempts"))
-    return rows.filter("line_no % 2 = 0")
+    return table(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("seq"), F.col("event_id").alias("line_no"), (F.col("event_id") % 3 == 0).alias("synced"), (F.col("event_id") % 5).cast("int").alias("sync_attempts"))
 
 
-_LATEST = "latest AS (SELECT seq, arg_max(synced, line_no) AS synced, arg_max(attempts, line_no) AS attempts FROM (SELECT event_id % 500 AS seq, event_id AS line_no, event_id % 3 = 0 AS synced, event_id % 5 AS attempts FROM events WHERE event_id % 2 = 0) GROUP BY 1)"
+_LATEST = "latest AS (SELECT seq, arg_max(synced, line_no) AS synced, arg_max(attempts, line_no) AS attempts FROM (SELECT event_id % 500 AS seq, event_id AS line_no, event_id % 3 = 0 AS synced, event_id % 5 AS attempts FROM events) GROUP BY 1)"
 
 
 @query(f"WITH {_LATEST} SELECT seq, synced, attempts AS sync_attempts FROM latest WHERE seq BETWEEN 20 AND 300", plain=True)
@@ -409,7 +421,7 @@ def chain_root_blake3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(chain_root(rows, list(ORDER), "h"),)], "chain_root string")
 
 
-@query()
+@query("SELECT event_id, event_id % 10 <> 0 AS ok FROM ledger")
 def verify_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger_view(spark, sf_dir).select("event_id", "entry_hash").withColumn("s", signer(SEED)("entry_hash"))
     broken = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("00"), F.substr("s", F.lit(3)))).otherwise(F.col("s"))
@@ -417,25 +429,44 @@ def verify_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", ok.alias("ok"))
 
 
-@query()
+@query("SELECT stream_id, true AS valid, 'valid' AS status, count(*) AS count, 1::BIGINT AS first_seq, count(*) AS last_seq, false AS is_authoritative, 0::BIGINT AS n_errors, 'resilient' AS mode FROM ledger GROUP BY 1")
 def verify_chain_sdk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ledgerloom.runtime import written
-    from ledgerloom.sources.keys import key_table
-    from ledgerloom.sources.scan import RECEIPT
-
     records = written(spark, _as_ledger(_chain(spark, sf_dir)), "records").withColumn("receipt", F.lit(None).cast(RECEIPT))
-    checked = verify.record_errors(records, key_table(spark, {"root": ed25519.public_key(SEED)}))
-    return verify.chain_summary(written(spark, checked, "checked"))
+    return verify.verify_wal(records, key_table(spark, {"root": ed25519.public_key(SEED)}))
 
 
 @query()
 def attestation_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     from datetime import datetime, timezone
 
-    from ledgerloom.runtime import written
-
     records = written(spark, _as_ledger(_chain(spark, sf_dir)), "records")
-    stream = records.agg(F.min("stream_id")).first()[0]
-    one = records.filter(F.col("stream_id") == stream)
-    found = attest.attest(one, stream, SEED, "root", "0000", "9999", datetime(2025, 1, 1, tzinfo=timezone.utc))
-    return spark.createDataFrame([(found["attestation_id"], found["status"], found["count"], found.get("root_hash"), found["signature"])], "attestation_id string, status string, count long, root_hash string, signature string")
+    return attest.attest_streams(records, SEED, "root", "0000", "9999", datetime(2025, 1, 1, tzinfo=timezone.utc)).drop("body")
+
+
+@query("SELECT stream_id, event_id, sequence, timestamp_ns, prev_hash, payload_hash, event_type, source, signature FROM ledger")
+def segments_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger written as segments, rolled by size, and read back by the line reader."""
+    folder = scratch_path(spark, "segments")
+    rows = ledger_view(spark, sf_dir).select("stream_id", F.col("event_id").cast("string").alias("event_id"), "sequence", "timestamp_ns", "prev_hash", "payload_hash", "event_type", "source", "signature")
+    append.write_segments(rows.select("stream_id", "sequence", F.to_json(F.struct(*rows.columns)).alias("value")), folder, bytes_per_file=1 << 20)
+    read = read_ledger(spark, folder).filter("parse_error IS NULL")
+    return read.select("stream_id", F.col("event_id").cast("long").alias("event_id"), "sequence", "timestamp_ns", "prev_hash", "payload_hash", "event_type", "source", "signature")
+
+
+@query("SELECT count(*) AS n_lines, count(DISTINCT stream_id) AS n_streams FROM ledger")
+def segment_lines_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of written segments: in every segment they are numbered from 1 to their count."""
+    folder = scratch_path(spark, "segments")
+    rows = ledger_view(spark, sf_dir).select("stream_id", "sequence", F.to_json(F.struct("stream_id", "sequence")).alias("value"))
+    append.write_segments(rows, folder, bytes_per_file=1 << 18)
+    lines = read_lines(spark, folder)
+    per = lines.groupBy("segment").agg(F.count("*").alias("n"), F.countDistinct("line_no").alias("distinct"), F.max("line_no").alias("last")).filter("n = distinct AND n = last")
+    streams = lines.select(F.countDistinct(F.get_json_object("line", "$.stream_id")).alias("n_streams"))
+    return per.agg(F.sum("n").alias("n_lines")).crossJoin(streams)  # one row each
+
+
+@query("SELECT stream_id, true AS valid, 'valid' AS status, count(*) AS count, 1::BIGINT AS first_seq, count(*) AS last_seq, false AS is_authoritative, 0::BIGINT AS n_errors, 'resilient' AS mode, 0::BIGINT AS key_rotations, 'root' AS trusted_keys FROM ledger GROUP BY 1")
+def verify_chain_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """verify_wal_with_root over the signed chain of all events: one row per stream, with rotations and trusted keys."""
+    records = written(spark, _as_ledger(_chain(spark, sf_dir)), "records").withColumn("receipt", F.lit(None).cast(RECEIPT))
+    return verify.verify_wal_with_root(records, "root", ed25519.public_key(SEED)).withColumn("trusted_keys", F.array_join("trusted_keys", ","))
