@@ -103,10 +103,10 @@ def _banded(sets: DataFrame, permutations: list[tuple[str, int]], rows: int, sim
     return keyed.select(own, F.expr(f"array_distinct(concat({', '.join(whole)}))").alias("bands"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, drop_emptied: bool = False) -> DataFrame:
     """docs with each near-equal line kept once in all of them, and n_lines, n_removed.
 
-    The result reads written tables; runtime.sweep(spark) deletes them once it is no longer needed.
+    drop_emptied leaves out documents that lose all their lines that are not blank. The result reads written tables; runtime.sweep(spark) deletes them once it is no longer needed.
     """
     spark = session(docs)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -169,14 +169,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost = written(spark, placed.join(best, "label").filter("id <> best.id").select("id"), "lost-lines")
     later(spark, lost)
     forget(spark, labels)
-    kept_, lines_, at_ = (fresh(docs, x) for x in ("__kept", "__lines", "__at"))
+    kept_, done_ = (fresh(docs, x) for x in ("__kept", "__done"))
     keep = first.join(lost, "id", "left_anti").groupBy("key", "key2").agg(F.collect_list("line_no").alias(kept_))
     keep = keep.select(F.col("key").alias(f"{key}_"), F.col("key2").alias(f"{key2}_"), kept_)
-    stays = stored.join(keep.hint("shuffle_hash"), (F.col(key) == F.col(f"{key}_")) & (F.col(key2) == F.col(f"{key2}_")), "left").withColumn(lines_, F.split(F.col(f"`{text_col}`"), "\n"))
-    blank = F.expr(f"filter(sequence(0, size({lines_}) - 1), k -> trim(get({lines_}, k)) = '')")
-    stays = stays.withColumn(at_, F.array_sort(F.concat(F.coalesce(kept_, F.expr("array()").cast("array<int>")), blank)))
-    text = F.when(F.col(f"`{text_col}`").isNotNull(), F.array_join(F.expr(f"transform({at_}, k -> get({lines_}, k))"), "\n"))
-    out = [text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in kept_cols]
+    stays = stored.join(keep.hint("shuffle_hash"), (F.col(key) == F.col(f"{key}_")) & (F.col(key2) == F.col(f"{key2}_")), "left")
+    if drop_emptied:  # kept lines are not blank
+        stays = stays.filter(F.col(kept_).isNotNull() | (F.trim(F.replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit("\n"), F.lit(" "))) == ""))
+    # the text is split once: what a lambda refers to by name would be computed anew for every line
+    at = f"array_sort(concat(coalesce(`{kept_}`, cast(array() as array<int>)), filter(sequence(0, size(ls) - 1), k -> trim(get(ls, k)) = '')))"
+    found = f"named_struct('text', array_join(transform(at, k -> get(ls, k)), '\n'), 'n', size(ls), 'left', size(at))"
+    stays = stays.withColumn(done_, F.expr(f"get(flatten(transform(array(split(`{text_col}`, '\n')), ls -> transform(array({at}), at -> {found}))), 0)"))
     there = F.col(f"`{text_col}`").isNotNull()
-    number, left = F.when(there, F.size(lines_)).otherwise(0), F.when(there, F.size(at_)).otherwise(0)
+    out = [F.when(there, F.col(f"{done_}.text")).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in kept_cols]
+    number, left = F.when(there, F.col(f"{done_}.n")).otherwise(0), F.when(there, F.col(f"{done_}.left")).otherwise(0)
     return stays.select(*out, number.cast("long").alias("n_lines"), (number - left).cast("long").alias("n_removed"))
