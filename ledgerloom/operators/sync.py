@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.sources.scan import latest
+from ledgerloom.runtime import delete_path, written
+from ledgerloom.sources.scan import latest, read_dead_letter_ids, read_ledger, read_synced_ids
 
 # HTTP status codes by what a sender does about them.
 TRANSIENT, FATAL = (429, 500, 502, 503, 504), (400, 401, 403, 413, 422)
@@ -61,6 +64,55 @@ def retention_plan(segments: DataFrame, now: Column, hours: int = 72) -> DataFra
     return rows.select(*segments.columns, F.coalesce((at < now - F.expr(f"interval {hours} hours")) & (F.col("segment") != F.col("__last")), F.lit(False)).alias("expired"))
 
 
+def apply_retention(spark: SparkSession, path: str, now: Column, hours: int = 72) -> tuple[int, int]:
+    """Deletes the expired segments of a directory; the numbers of removed and of kept ones. A row per file reaches the driver."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(folder) if x.getPath().getName().startswith("segment_") and x.getPath().getName().endswith(".jsonl")]
+    if not names:
+        return 0, 0
+    plan = retention_plan(spark.createDataFrame([(n,) for n in names], "segment string"), now, hours)
+    gone = [r["segment"] for r in plan.filter("expired").collect()]
+    for name in gone:
+        delete_path(spark, f"{path.rstrip('/')}/{name}")
+    return len(gone), len(names) - len(gone)
+
+
+def log_stats(spark: SparkSession, path: str) -> DataFrame:
+    """One row about a log directory: streams, last sequence, segments, bytes, receipts, unsynced and dead events."""
+    records = read_ledger(spark, path, "sdk").filter("parse_error IS NULL")
+    synced, dead = read_synced_ids(spark, path), read_dead_letter_ids(spark, path)
+    files = records.select("segment", "segment_bytes").distinct().agg(F.count("*").alias("segment_count"), F.coalesce(F.sum("segment_bytes"), F.lit(0)).alias("total_size_bytes"))
+    facts = records.agg(F.countDistinct("stream_id").alias("streams"), F.coalesce(F.max("sequence"), F.lit(0)).alias("seq"), F.count("*").alias("events"))
+    out = facts.crossJoin(files)  # one row each, here and below
+    out = out.crossJoin(synced.agg(F.count("*").alias("receipts_count"))).crossJoin(dead.agg(F.count("*").alias("dead_letter_count")))
+    return out.crossJoin(unsynced(records, synced, dead).agg(F.count("*").alias("unsynced_count")))
+
+
+def sync_batch(records: DataFrame, send: Callable[[DataFrame], DataFrame], at: Column, attempts: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sends records and says what to append: (receipt rows, dead-letter rows, records left over for the next batch).
+
+    send: from records to (event_id, code, receipt, reason), lazily. Transient answers are sent again, up to attempts times in all; a
+    code that is neither success, transient nor fatal stops its record for this batch. Every round's answers are a written table, so a
+    lost executor does not send twice. For a stream, call it in foreachBatch; left-over records are the fallback.
+    """
+    spark = records.sparkSession
+    now, answers = records, []
+    for _ in range(attempts):
+        answer = written(spark, classify_responses(send(now)), "answers")
+        answers.append(answer)
+        now = now.join(answer.filter("action = 'retry'").select("event_id"), "event_id", "left_semi")
+        if now.isEmpty():
+            break
+    every = answers[0]
+    for a in answers[1:]:
+        every = every.unionByName(a)
+    done = every.filter("action IN ('receipt', 'dead_letter')").select("event_id")
+    receipts = receipt_rows(every.filter("action = 'receipt'"), at)
+    dead = every.filter("action = 'dead_letter'")
+    return receipts, dead_letter_rows(dead, at, F.col("code"), F.col("reason")), records.join(done, "event_id", "left_anti")
+
+
 def first_by_key(events: DataFrame, key: str, *order: str) -> DataFrame:
     """The first event of each idempotency key."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import ed25519
 from ledgerloom.functions import expressions as E
 from ledgerloom.functions.hashing import blake3_hex, canonical_payload, entry_hash, payload_hash, signature_ok, signer
-from ledgerloom.operators import append, attest, export, inspect, report, sync, verify
+from ledgerloom.operators import append, attest, events, export, inspect, report, sync, verify
 from ledgerloom.operators.root import chain_root
 from ledgerloom.plans.global_lag import with_previous
 from ledgerloom.plans.ledger_view import LEDGER_SQL, dead_letters, ledger_view, receipt_log
@@ -390,6 +390,50 @@ def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.retention_plan(segments, F.to_timestamp(F.lit("2024-02-01 00:00:00")))
 
 
+# Events as they are sent
+
+
+@query("""SELECT event_id, '{"event_type":"' || event_type || '","idempotency_key":"k' || event_id || '","payload":{"user":' || user_id || '},"severity":"info"' || CASE WHEN event_id % 2 = 0 THEN ',"source":"web"' ELSE '' END || ',"timestamp":"t"}' AS body FROM events WHERE event_id % 11 <> 0
+UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 11 = 0""", plain=True)
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of all events; a float in every eleventh payload is rejected."""
+    ship(spark)
+    n = F.col("event_id")
+    value = F.when(n % 11 == 0, F.lit("1.5")).otherwise(F.col("user_id").cast("string"))
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.concat(F.lit('{"user":'), value, F.lit("}")).alias("payload"), F.lit("info").alias("severity"), F.lit("t").alias("timestamp"), F.concat(F.lit("k"), n.cast("string")).alias("idempotency_key"), F.when(n % 2 == 0, "web").alias("source"))
+    return events.request_bodies(rows).select("event_id", F.col("body.json").alias("body"))
+
+
+@query("SELECT event_id, event_id % 10 <> 0 AS ok FROM ledger")
+def payload_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads signed and verified; every tenth one is changed between."""
+    ship(spark)
+    rows = ledger_view(spark, sf_dir).select("event_id", "payload").withColumn("s", events.sign_payloads(F.col("payload"), SEED))
+    sent = F.when(F.col("event_id") % 10 == 0, F.lit('{"other":1}')).otherwise(F.col("payload"))
+    return rows.select("event_id", events.payload_signature_ok(sent, F.col("s.signature"), F.lit(ed25519.public_key(SEED).hex())).alias("ok"))
+
+
+@query("""SELECT event_id FROM events WHERE event_type <> 'click' OR ('0x' || substr(md5(event_id::VARCHAR), 1, 6))::INTEGER % 100 < 10""", plain=True)
+def sampled_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.sample_level(table(spark, sf_dir, "events"), "event_id", "event_type", "click", 10).select("event_id")
+
+
+@query("""SELECT 'receipt' AS kind, event_id FROM ledger WHERE event_id % 5 IN (0, 1) UNION ALL SELECT 'dead', event_id FROM ledger WHERE event_id % 5 = 2 UNION ALL SELECT 'left', event_id FROM ledger WHERE event_id % 5 IN (3, 4)""")
+def sync_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch of the sender: 200; 503 then 200; 422; always 429; an unknown code."""
+    rounds = [0]
+
+    def send(rows: DataFrame) -> DataFrame:
+        rounds[0] += 1
+        codes = (200, 503 if rounds[0] == 1 else 200, 422, 429, 418)
+        code = F.element_at(F.array(*map(F.lit, codes)), (F.col("event_id") % 5 + 1).cast("int"))
+        return rows.select("event_id", code.alias("code"), F.lit("r").alias("receipt"), F.lit("rejected").alias("reason"))
+
+    done, dead, left = sync.sync_batch(ledger_view(spark, sf_dir).select("event_id"), send, F.lit("t"))
+    out = done.select(F.lit("receipt").alias("kind"), "event_id").unionByName(dead.select(F.lit("dead").alias("kind"), "event_id"))
+    return out.unionByName(left.select(F.lit("left").alias("kind"), "event_id"))
+
+
 # BLAKE3 and Ed25519, which SQL does not have: vectors in tests hold these
 
 
