@@ -88,6 +88,43 @@ def test_quality_bands_and_edges(docs_of):
     assert got[11]["ratio"] > got[10]["ratio"] and got[10]["__text"] == "x"
 
 
+def test_bands_by_brute_force():
+    """The verdict restated: the band of a length by a search from below, whole text first, then the share of bad chunks."""
+    import zstandard
+
+    def band(n, bands):
+        return next(b for b in bands if b.below is None or n < b.below)
+
+    def slow(data):
+        size = lambda x: len(zstandard.ZstdCompressor(level=3).compress(x))
+        b = band(len(data), quality.DOCUMENT_BANDS)
+        if not b.low <= size(data) / len(data) <= b.high:
+            return False
+        bad = 0
+        for k in range(0, len(data), quality.CHUNK_BYTES) if len(data) > quality.CHUNK_BYTES else ():
+            chunk = data[k : k + quality.CHUNK_BYTES]
+            c = band(len(chunk), quality.CHUNK_BANDS)
+            bad += len(chunk) * (not c.low <= size(chunk) / len(chunk) <= c.high)
+        return bad / len(data) <= quality.MAX_BAD_CHUNK_SHARE
+
+    import os
+
+    import zstandard as z
+
+    r, compress = random.Random(4), z.ZstdCompressor(level=quality.LEVEL).compress
+    verdicts = set()
+    for _ in range(300):
+        n = r.choice([70, 150, 250, 300, 700, 1500, 3000, 9000, 20000, 70000])
+        words = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 9))) for _ in range(n // 4)).encode()
+        data = r.choice([words, base64.b64encode(os.urandom(n)), b"spam " * (n // 5), words[: n // 2] + base64.b64encode(os.urandom(n // 3))])[:n]
+        got = quality.compression(data, compress)[2]
+        assert got == slow(data), (n, data[:40])
+        verdicts.add((got, len(data) > quality.CHUNK_BYTES))
+    assert len(verdicts) == 4
+    for n in (150, 200, 250, 1000, 5000, 30000):
+        assert not quality.compression(base64.b64encode(os.urandom(n))[:n], compress)[2] and not quality.compression((b"spam " * n)[:n], compress)[2]
+
+
 def test_quality_rejects_encoded_and_random_text(docs_of):
     r = random.Random(5)
     words = ["".join(r.choice("eeeeettttaaaoooiiinnnsssrrhhldcu") for _ in range(r.randint(1, 9))) for _ in range(3000)]
