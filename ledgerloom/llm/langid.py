@@ -107,17 +107,25 @@ class LanguageModel:
 _BITS = np.array([[value >> bit & 1 for bit in range(8)] for value in range(256)], np.int64)
 
 
+#: Labels that a model learns at most.
+MAX_LANGUAGES = 512
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents that only test: crc32 of the id's text is 2 modulo 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, min_share: float = MIN_SHARE) -> LanguageModel:
-    """Learns from text and lang of rows with both; the caller leaves out what must not teach. Sampling is by hash of doc_id."""
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, min_share: float = MIN_SHARE, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
+    """Learns from text and lang of rows with both; the caller leaves out what must not teach. Sampling is by hash of doc_id.
+
+    Of more labels than max_languages, the most frequent ones are learned: dirty labels cannot grow the model.
+    """
     spark = session(docs)
     ready(spark)
     known = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    counted = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang")
+    sizes = {r["lang"]: r["n"] for r in counted.limit(max_languages).collect()}  # a row per language
     languages = tuple(sorted(sizes, key=lambda x: (-sizes[x], x)))
     bits = SLOTS_LOG2
     planes = np.zeros(((len(languages) + 7) // 8 or 1, 1 << bits), np.uint8)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Keys with more than this share of all rows go by broadcast: at most 1 / HOT_SHARE of them exist, which bounds the broadcast.
-HOT_SHARE = 0.001
+#: Keys with more than this share of all rows (and more than LEAST rows) go by broadcast: at most 1 / HOT_SHARE of them exist, some 10 MB.
+HOT_SHARE, LEAST = 1e-5, 1000
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
@@ -15,7 +15,7 @@ def lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int)
     Hot keys are looked up by a broadcast of at most 1 / HOT_SHARE rows; their rows skip the shuffle join's key (they get a key of
     their own that matches nothing), so the shuffle join never sees a hot key.
     """
-    least = max(1000, int(total * HOT_SHARE))
+    least = max(LEAST, int(total * HOT_SHARE))
     values = [c for c in right.columns if c not in (key, count)]
     hot = right.filter(F.col(count) > least).select(F.col(key).alias("__hot"), F.struct(*values).alias("__hot_values"))
     cold = right.filter(F.col(count) <= least).select(F.col(key).alias("__cold"), F.struct(*values).alias("__cold_values"))
