@@ -37,9 +37,9 @@ from ledgerloom.runtime import forget, later, scratch_path, written
 SHINGLE = 5
 SIMILARITY = 0.8
 #: The longest run of a band, and the anchors of the first permutation.
-ROWS, ANCHORS = 8, 32
+ROWS, ANCHORS = 8, 24
 #: Sets of fewer shingles have more permutations, by how far each shifts the hashes, with so many anchors each.
-SMALL, SHIFTS, SMALL_ANCHORS = 256, (18, 29, 40), 8
+SMALL, SHIFTS, SMALL_ANCHORS = 256, (18, 29, 40), 6
 #: The second filing: its longest run, and its permutations, by seed, of so many of the smallest hashes, with their anchors.
 AGAIN_ROWS, AGAIN_SEEDS, AGAIN_SKETCH, AGAIN_ANCHORS = 16, 16, 256, 16
 #: A set takes a run only with at least so many times as many shingles; smaller ones take runs of half the length, and so on.
