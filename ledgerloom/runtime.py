@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 #: Seconds between two forced collections of garbage, and when the last one was.
-COLLECT_S, _collected = 4.0, 0.0
+COLLECT_S, _collected = 2.0, 0.0
 #: By application, what results that were handed out still read: paths of written tables and names of catalog tables.
 _LATER: dict[str, list[str]] = {}
 
