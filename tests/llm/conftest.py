@@ -1,5 +1,11 @@
 import pytest
 
+from ledgerloom import runtime
+from ledgerloom.llm import components
+
+# Fewer jobs on small tables: neither changes a result.
+components.TURNS, runtime.COLLECT_S = 2, 30.0
+
 
 @pytest.fixture
 def docs_of(spark):
