@@ -263,7 +263,7 @@ def word_encoder():
 def test_token_files_roll(spark, docs_of, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = docs_of([(k, f"some words of document {k} " * 20) for k in range(40)])
-    store = token_binary.write_tokens(docs, path, end_id=2, folder=str(tmp_path / "rolled"), file_bytes=1000)
+    store = token_binary.write_tokens(docs, path, end_id=2, folder=str(tmp_path / "rolled"), file_bytes=300)
     assert store.manifest.count() > 10
     whole = token_binary.read_tokens(spark, token_binary.write_tokens(docs, path, end_id=2)).orderBy("doc_id").collect()
     assert token_binary.read_tokens(spark, store).orderBy("doc_id").collect() == whole
