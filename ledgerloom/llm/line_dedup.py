@@ -12,8 +12,7 @@ shingles take shorter runs, by classes of size, and those just above a class's b
 share a class.
 
 Recall of banding, by simulation: 0.98 or more at a similarity of 0.8 (1,000 shingles 0.980, 300 0.995, fewer 0.993 to 1.00), 1.00 from
-0.85 on. Candidates that are not yet connected,
-in buckets of many, are filed again by 16 rows (see components.link), with a recall over 0.95.
+0.85 on. No link between lines that share a band is lost (see components.link).
 
 Plan: documents are written once, bucketed by a 128-bit key of doc_id and text; the three later passes over texts (distinct lines,
 candidates, the result) join small per-document lists to that table without moving texts. Hot lines are pre-aggregated before the
@@ -32,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import fresh, session
-from ledgerloom.llm.components import link, shared_buckets
+from ledgerloom.llm.components import fits, link, shared_buckets
 from ledgerloom.runtime import forget, later, scratch_path, written
 
 SHINGLE = 5
@@ -41,8 +40,8 @@ SIMILARITY = 0.8
 ROWS, ANCHORS = 8, 24
 #: Sets of fewer shingles have more permutations, by how far each shifts the hashes, with so many anchors each.
 SMALL, SHIFTS, SMALL_ANCHORS = 256, (18, 29, 40), 6
-#: The second filing: its longest run, and its permutations, by seed, of so many of the smallest hashes, with their anchors.
-AGAIN_ROWS, AGAIN_SEEDS, AGAIN_SKETCH, AGAIN_ANCHORS = 16, 16, 256, 16
+#: The second filing counts shingles by so many bits of their hashes.
+SLOTS_LOG2 = 18
 #: A set takes a run only with at least so many times as many shingles; smaller ones take runs of half the length, and so on.
 PER_RUN = 2.5
 
@@ -153,13 +152,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         shared = F.expr(f"array(size(array_intersect({_set('norm_a')}, {_set('norm_b')})))")
         return both.filter(F.exists(shared, lambda x: x >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - x))).select("a", "b")
 
-    def again(ids: DataFrame) -> DataFrame:
-        seeded = [(f"transform(slice(s, 1, {AGAIN_SKETCH}), x -> xxhash64(x, {k}))", AGAIN_ANCHORS) for k in range(AGAIN_SEEDS)]
-        sorted_ = _sorted(sets.join(ids, "id", "left_semi").select("id", "norm"))
-        filed = written(spark, _banded(sorted_, seeded, AGAIN_ROWS, similarity), "bands-again")
-        found = shared_buckets(filed)
-        forget(spark, filed)
-        return found
+    def again(ids: DataFrame) -> tuple[DataFrame, Column]:
+        """Lines by the rarest of their shingles, which all lines that are similar share; common ones of the lines asked for come last."""
+        asked = written(spark, sets.join(ids, "id", "left_semi").select("id", F.expr(f"transform({_set('norm')}, x -> named_struct('slot', cast(shiftrightunsigned(x, {64 - SLOTS_LOG2}) as int), 'x', x))").alias("s")), "again")
+        none = spark.range(1 << SLOTS_LOG2).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("n"))
+        counted = asked.select(F.explode("s.slot").alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).unionByName(none).groupBy("slot").agg(F.sum("n").alias("n"))
+        often = counted.agg(F.expr("transform(sort_array(collect_list(struct(slot, n))), v -> v.n)").alias("often"))
+        ordered = asked.join(F.broadcast(often)).select("id", F.expr("sort_array(transform(s, v -> struct(often[v.slot] as often, v.x as x)))").alias("s"))
+        # similar sets share one of those that come before the last SIMILARITY of the set
+        first = ordered.select("id", F.size("s").alias("size"), F.posexplode(F.expr(f"slice(s, 1, size(s) - cast(ceil({similarity} * size(s) - 1e-6) as int) + 1)")).alias("k", "v"))
+        n = F.col("size") - F.col("k")
+        filed = written(spark, first.filter("v.often > 1").select(F.col("v.x").alias("bucket"), "id", (n / F.col("size")).alias("left"), n.alias("n"), (1 / F.col("size")).alias("top")), "filed")
+        forget(spark, asked)
+        return filed, fits("a", "b", similarity)
 
     labels = link(members, verify, [again])
     forget(spark, members, sets)

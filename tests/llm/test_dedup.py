@@ -109,6 +109,18 @@ def test_pairs_of_a_family_do_not_grow_with_the_square(docs_of, monkeypatch, wha
     assert per_member[1] < 4**0.75 * per_member[0], per_member
 
 
+@pytest.mark.parametrize("few", [0, 1 << 40])
+def test_the_way_of_a_bucket_changes_no_link(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few, raising=False)
+    members = written(spark, spark.createDataFrame([(v // 20, v) for v in range(60)], "bucket long, id long"), "m")
+
+    def again(ids):  # 19 and 20 meet here alone, which no bucket given has
+        return written(spark, ids.select(F.explode(F.sequence(F.col("id") - 1, F.col("id"))).alias("bucket"), "id"), "again")
+
+    got = {r["id"]: r["label"] for r in components.link(members, lambda pairs: pairs.filter("a - b = 1"), [again]).collect()}
+    assert got == {v: v // 20 * 20 for v in range(60)}
+
+
 def fast_groups(texts):
     """Groups of texts whose shingles do not repeat, by plain Jaccard similarity."""
     grams = []
