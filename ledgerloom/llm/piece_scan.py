@@ -34,7 +34,8 @@ MARK = "▁"
 CHUNK = 16384
 #: Chunks, or blocks of them, whose matrices one task combines.
 FAN = 64
-MEMO_UNITS, MEMO_WORDS, MEMO_PAIRS = 400_000, 300_000, 500_000
+#: Workers of several stages stay alive side by side in an executor, so what each remembers is small.
+MEMO_UNITS, MEMO_WORDS, MEMO_PAIRS = 200_000, 100_000, 500_000
 _START, _CUT = -1, -2
 _NEVER = 1 << 62
 
@@ -45,9 +46,9 @@ class Pieces:
     def __init__(self, path: str):
         import sentencepiece
 
+        self.path = path
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
-        self.bytes_of: list[bytes] = [b""] * n
         self.byte_id = [0] * 256
         self.id: dict[str, int] = {}
         self.text: list[str] = [""] * n
@@ -56,10 +57,9 @@ class Pieces:
             piece = model.id_to_piece(k)
             if model.is_byte(k):
                 value = int(piece[3:5], 16)
-                self.byte_id[value], self.bytes_of[k] = k, bytes([value])
+                self.byte_id[value] = k
             elif not (model.is_control(k) or model.is_unknown(k) or model.is_unused(k)):
                 self.id[piece], self.text[k], self.rank[k] = k, piece, -model.get_score(k)
-                self.bytes_of[k] = piece.replace(MARK, " ").encode()
         self.longest = max(map(len, self.id), default=1)
         self.spans = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         self.marks_lead = not any(a != MARK and b == MARK for a, b in self.spans)
@@ -233,8 +233,7 @@ class Pieces:
         return self.between_cuts(MARK + text.replace(" ", MARK))
 
     def decode(self, ids: np.ndarray) -> str:
-        data = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-        return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
+        return decoder(self.path).decode(ids)
 
     # Chunks. A state at a boundary is (piece, overhang) as piece * 64 + overhang; _START begins a document; _CUT is any state at a cut.
 
@@ -295,6 +294,26 @@ class Pieces:
         return np.array(before, "<u4").tobytes() + middle + np.array(after, "<u4").tobytes()
 
 
+class Decoder:
+    """The bytes of every piece, and nothing else of a model: a decoding worker runs beside an encoding one."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.bytes_of = [b""] * model.get_piece_size()
+        for k in range(len(self.bytes_of)):
+            piece = model.id_to_piece(k)
+            if model.is_byte(k):
+                self.bytes_of[k] = bytes([int(piece[3:5], 16)])
+            elif not (model.is_control(k) or model.is_unknown(k) or model.is_unused(k)):
+                self.bytes_of[k] = piece.replace(MARK, " ").encode()
+
+    def decode(self, ids: np.ndarray) -> str:
+        data = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
+
+
 def combine(first: dict[int, dict[int, int]], then: dict[int, dict[int, int]]) -> dict[int, dict[int, int]]:
     """The max-plus product of two transfer matrices; associative."""
     out: dict[int, dict[int, int]] = {}
@@ -343,6 +362,13 @@ def chunk_places(n: int, chunk: int = CHUNK) -> list[int]:
 
 
 _LOADED: dict[str, Pieces] = {}
+_DECODERS: dict[str, Decoder] = {}
+
+
+def decoder(path: str) -> Decoder:
+    if path not in _DECODERS:
+        _DECODERS[path] = Decoder(path)
+    return _DECODERS[path]
 
 
 def loaded(path: str) -> Pieces:
@@ -449,7 +475,7 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
     ready(session(encoded))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = loaded(model)
+        pieces = decoder(model)
         for batch in batches:
             texts = [pieces.decode(np.frombuffer(x, "<u4")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "packed", "text"])

@@ -108,3 +108,15 @@ def test_sweep_deletes_what_results_have_read(spark, docs_of):
     before = len([t for t in spark.catalog.listTables() if t.name.startswith("ledgerloom_lines")])
     runtime.sweep(spark)
     assert before and not [t for t in spark.catalog.listTables() if t.name.startswith("ledgerloom_lines")]
+
+
+def test_decoding_loads_no_vocabulary(monkeypatch):
+    import numpy as np
+    import public_tokenizers
+
+    from ledgerloom.llm import piece_scan
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = np.frombuffer(piece_scan.loaded(model).encode("decoding stands alone"), "<u4")
+    monkeypatch.setattr(piece_scan, "_LOADED", {})
+    assert piece_scan.decoder(model).decode(ids) == "decoding stands alone" and not piece_scan._LOADED
