@@ -31,6 +31,8 @@ SLOTS_LOG2 = 21
 HASHES = 2
 SAMPLE_ROWS = 4000
 MIN_SHARE = 0.02
+#: N-grams that learning holds at a time; it bounds memory only.
+HELD_GRAMS = 1_000_000
 #: A text whose best language explains less than this share of its n-grams is in no learned language.
 MIN_COVERAGE = 0.15
 _MULTIPLIER, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -138,16 +140,26 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, min_share: float = MIN_
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by: dict[str, list] = {}
+            held = 0
+
+            def settle() -> Iterator[pa.RecordBatch]:
+                for lang, parts in by.items():
+                    h, n = np.unique(np.concatenate(parts), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([number[lang]] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+                by.clear()
+
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(np.unique(grams(text)))
-            for lang, parts in by.items():
-                h, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([number[lang]] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
-                yield pa.RecordBatch.from_arrays([pa.array([number[lang]], pa.int32()), pa.array([None], pa.int64()), pa.array([len(parts)], pa.int64())], ["lang", "gram", "n"])
+                held += len(by[lang][-1])
+                if held > HELD_GRAMS:
+                    yield from settle()
+                    held = 0
+            yield from settle()
 
     counted = sample.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    sampled = counted.filter("gram IS NULL").select(F.col("lang").alias("l"), F.col("n").alias("docs"))
-    frequent = counted.filter("gram IS NOT NULL").join(F.broadcast(sampled), F.col("lang") == F.col("l")).filter(F.col("n") >= F.greatest(F.lit(2), F.col("docs") * min_share))
+    numbers = F.create_map(*[F.lit(x) for lang, k in number.items() for x in (lang, k)])
+    sampled = sample.groupBy("lang").agg(F.count("*").alias("docs")).select(F.element_at(numbers, F.col("lang")).alias("l"), "docs")
+    frequent = counted.join(F.broadcast(sampled), F.col("lang") == F.col("l")).filter(F.col("n") >= F.greatest(F.lit(2), F.col("docs") * min_share))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -120,3 +120,15 @@ def test_decoding_loads_no_vocabulary(monkeypatch):
     ids = np.frombuffer(piece_scan.loaded(model).encode("decoding stands alone"), "<u4")
     monkeypatch.setattr(piece_scan, "_LOADED", {})
     assert piece_scan.decoder(model).decode(ids) == "decoding stands alone" and not piece_scan._LOADED
+
+
+def test_learning_in_small_parts_changes_nothing(spark, docs_of, monkeypatch):
+    import numpy as np
+
+    from ledgerloom.llm import langid
+
+    docs = docs_of([(k, f"the cat number {'abcdefghij'[k % 10]} sat there") for k in range(40)])
+    whole = langid.fit(docs)
+    monkeypatch.setattr(langid, "HELD_GRAMS", 1)
+    parts = langid.fit(docs)
+    assert whole.languages == parts.languages and np.array_equal(whole.planes, parts.planes) and whole.planes.any()
