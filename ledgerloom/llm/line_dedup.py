@@ -30,6 +30,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import components
 from ledgerloom.llm.common import fresh, session
 from ledgerloom.llm.components import fits, link, shared_buckets
 from ledgerloom.runtime import forget, later, scratch_path, written
@@ -40,8 +41,6 @@ SIMILARITY = 0.8
 ROWS, ANCHORS = 8, 24
 #: Sets of fewer shingles have more permutations, by how far each shifts the hashes, with so many anchors each.
 SMALL, SHIFTS, SMALL_ANCHORS = 256, (18, 29, 40), 6
-#: The second filing counts shingles by so many bits of their hashes.
-SLOTS_LOG2 = 18
 #: A set takes a run only with at least so many times as many shingles; smaller ones take runs of half the length, and so on.
 PER_RUN = 2.5
 
@@ -82,8 +81,8 @@ def _places(anchors: int) -> list[int]:
     return [k * step + step // 3 - (1 << 63) for k in range(anchors)]
 
 
-def _banded(sets: DataFrame, permutations: list[tuple[str, int]], rows: int, similarity: float) -> DataFrame:
-    """id and bands (bucket keys) of sets (id, s). permutations: SQL of the array of s that each orders, and its anchors.
+def _banded(sets: DataFrame, permutations: list[tuple[str, int]], rows: int, similarity: float, turns: int) -> DataFrame:
+    """id and arrays of bucket keys (or nulls), one for each turn, of sets (id, s). permutations: SQL of the array of s that each orders, and its anchors.
 
     Each projection has a function that code generation leaves out: the generated code of a whole stage would be one method too long to
     be compiled, while projections by themselves are split into short ones.
@@ -92,15 +91,17 @@ def _banded(sets: DataFrame, permutations: list[tuple[str, int]], rows: int, sim
     names = range(len(permutations))
     runs = ", ".join(f"CASE WHEN {within} THEN array({run}) ELSE cast(array() as array<int>) END" for run, within in _classes(rows, similarity))
     filed = sets.select("id", "s", F.expr(f"explode(concat({runs}))").alias("run"))
-    ordered = filed.select("id", "run", *[F.expr(f"sort_array({p})").alias(f"p{k}") for k, (p, _) in enumerate(permutations)])
+    ordered = filed.select("id", "run", *[F.expr(p if p == "s" else f"sort_array({p})").alias(f"p{k}") for k, (p, _) in enumerate(permutations)])  # s is sorted
     marks = [f"array({', '.join(f'{a}L' for a in _places(n))})" for _, n in permutations]
-    ring = ordered.select(own, "run", *[F.expr(f"concat(p{k}, slice(p{k}, 1, {rows}))").alias(f"r{k}") for k in names], *[F.expr(f"sort_array(concat(p{k}, {marks[k]}))").alias(f"m{k}") for k in names])
+    ring = ordered.select(own, "run", *[F.expr(f"size(p{k})").alias(f"n{k}") for k in names], *[F.expr(f"concat(p{k}, slice(p{k}, 1, {rows}))").alias(f"r{k}") for k in names], *[F.expr(f"sort_array(concat(p{k}, {marks[k]}))").alias(f"m{k}") for k in names])
     # of the anchor's place among values and anchors, the anchors before it are taken off: that is where its run begins
     at = {(k, j): F.expr(f"cast(array_position(m{k}, {a}L) as int) - {j}").alias(f"b{k}_{j}") for k, (_, n) in enumerate(permutations) for j, a in enumerate(_places(n))}
-    begins = ring.select(own, "run", *[f"r{k}" for k in names], *at.values())
-    keyed = begins.select(own, *[F.expr(f"size(r{k})").alias(f"n{k}") for k in names], *[F.expr(f"xxhash64({k}, run, slice(r{k}, b{k}_{j}, run))").alias(f"k{k}_{j}") for k, j in at])
-    whole = [f"CASE WHEN n{k} > 0 THEN array({', '.join(f'k{i}_{j}' for i, j in at if i == k)}) ELSE cast(array() as array<bigint>) END" for k in names]
-    return keyed.select(own, F.expr(f"array_distinct(concat({', '.join(whole)}))").alias("bands"))
+    begins = ring.select(own, "run", *[x for k in names for x in (f"n{k}", f"r{k}")], *at.values())
+    # anchors without a value between them have one run, and those past the last value have the first one's
+    new = lambda k, j: f"n{k} > 0" + (f" AND b{k}_{j} <> b{k}_{j - 1} AND (b{k}_{j} <= n{k} OR b{k}_0 > 1)" if j else "")
+    keyed = begins.select(own, *[F.expr(f"CASE WHEN {new(k, j)} THEN xxhash64({k}, run, slice(r{k}, b{k}_{j}, run)) END").alias(f"k{k}_{j}") for k, j in at])
+    dealt = [[f"k{k}_{j}" for k, j in at][t::turns] for t in range(turns)]
+    return keyed.select(own, *[F.array(*mine).alias(f"bands{t}") for t, mine in enumerate(dealt)])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, drop_emptied: bool = False) -> DataFrame:
@@ -136,7 +137,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return found.select(F.col("w.id").alias("id"), _norm(F.expr("get(lines, w.line_no)")).alias("norm"))
 
     small = [(f"transform(CASE WHEN size(s) < {SMALL} THEN s ELSE cast(array() as array<bigint>) END, x -> coalesce(shiftleft(x, {k}), 0L))", SMALL_ANCHORS) for k in SHIFTS]
-    bands = written(spark, _banded(_sorted(lines_of(first)), [("s", ANCHORS), *small], ROWS, similarity), "bands")
+    bands = written(spark, _banded(_sorted(lines_of(first)), [("s", ANCHORS), *small], ROWS, similarity, components.TURNS), "bands")
     forget(spark)
     members = shared_buckets(bands)
     forget(spark, bands)
@@ -154,15 +155,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def again(ids: DataFrame) -> tuple[DataFrame, Column]:
         """Lines by the rarest of their shingles, which all lines that are similar share; common ones of the lines asked for come last."""
-        asked = written(spark, sets.join(ids, "id", "left_semi").select("id", F.expr(f"transform({_set('norm')}, x -> named_struct('slot', cast(shiftrightunsigned(x, {64 - SLOTS_LOG2}) as int), 'x', x))").alias("s")), "again")
-        none = spark.range(1 << SLOTS_LOG2).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("n"))
-        counted = asked.select(F.explode("s.slot").alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).unionByName(none).groupBy("slot").agg(F.sum("n").alias("n"))
-        often = counted.agg(F.expr("transform(sort_array(collect_list(struct(slot, n))), v -> v.n)").alias("often"))
-        ordered = asked.join(F.broadcast(often)).select("id", F.expr("sort_array(transform(s, v -> struct(often[v.slot] as often, v.x as x)))").alias("s"))
+        asked = written(spark, sets.join(ids, "id", "left_semi").select("id", F.expr(_set("norm")).alias("s")), "again")
+        every = asked.select("id", F.size("s").alias("size"), F.explode("s").alias("x"))
+        shared = every.groupBy("x").agg(F.count("*").alias("often")).filter("often > 1")
+        # v: the shingles that others have too, rarest first; all others come before them
+        ordered = every.join(shared, "x").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("v"))
         # similar sets share one of those that come before the last SIMILARITY of the set
-        first = ordered.select("id", F.size("s").alias("size"), F.posexplode(F.expr(f"slice(s, 1, size(s) - cast(ceil({similarity} * size(s) - 1e-6) as int) + 1)")).alias("k", "v"))
-        n = F.col("size") - F.col("k")
-        filed = written(spark, first.filter("v.often > 1").select(F.col("v.x").alias("bucket"), "id", (n / F.col("size")).alias("left"), n.alias("n"), (1 / F.col("size")).alias("top")), "filed")
+        first = ordered.select("id", "size", F.size("v").alias("others"), F.posexplode(F.expr(f"slice(v, 1, greatest(size(v) - cast(ceil({similarity} * size - 1e-6) as int) + 1, 0))")).alias("k", "v"))
+        n = F.col("others") - F.col("k")
+        filed = written(spark, first.select(F.col("v.x").alias("bucket"), "id", (n / F.col("size")).alias("left"), n.alias("n"), (1 / F.col("size")).alias("top")), "filed")
         forget(spark, asked)
         return filed, fits("a", "b", similarity)
 

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import components
 from ledgerloom.llm.common import fresh, ready, rows_of, session
 from ledgerloom.llm.components import fits, link, shared_buckets
 from ledgerloom.llm.skew import lookup
@@ -229,7 +230,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     signed = written(spark, sign(texts), "signatures")
     classes = written(spark, signed.filter("id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.any_value("bands").alias("bands")), "text-classes")
     later(spark, signed, classes)
-    members = shared_buckets(classes.select("id", "bands"))
+    each = -(-BANDS // components.TURNS)
+    members = shared_buckets(classes.select("id", *[F.slice("bands", 1 + at, each).alias(f"bands{at}") for at in range(0, BANDS, each)]))
     wanted = classes.join(members.select("id").distinct(), "id", "left_semi").select("doc_id", "id")
     sets = written(spark, _candidate_sets(texts, wanted).join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "candidate-sets") if members.count() else None
 

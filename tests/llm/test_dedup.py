@@ -121,6 +121,39 @@ def test_the_way_of_a_bucket_changes_no_link(spark, monkeypatch, few):
     assert got == {v: v // 20 * 20 for v in range(60)}
 
 
+def test_a_filing_meets_inside_the_buckets_given_alone(spark, monkeypatch):
+    tables, write = [], components.written
+
+    def counting(spark, df, name):
+        out = write(spark, df, name)
+        tables.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "written", counting)
+    members = written(spark, spark.createDataFrame([(v // 12, v) for v in range(240)], "bucket long, id long"), "m")
+    again = lambda ids: written(spark, ids.select(F.lit(0).cast("long").alias("bucket"), "id"), "again")  # noqa: E731  all in one
+    assert components.link(members, lambda pairs: pairs.filter("false"), [again]).count() == 0
+    assert max(tables) <= 20 * 12 * 11 / 2, max(tables)  # 240 ids make 28,680 pairs
+
+
+def test_turns_have_every_band_once(spark):
+    sets = [(n, sorted(R.randrange(-(1 << 63), 1 << 63) for _ in range(n))) for n in (1, 2, 3, 5, 9, 19, 20, 21, 40, 60, 255, 256, 700)]
+    df = spark.createDataFrame(sets, "id long, s array<long>")
+    shifted = [(f"transform(s, x -> coalesce(shiftleft(x, {k}), 0L))", 6) for k in line_dedup.SHIFTS]
+    for turns in (1, 3):
+        found = {}
+        for r in line_dedup._banded(df, [("s", line_dedup.ANCHORS), *shifted], line_dedup.ROWS, 0.8, turns).collect():
+            found.setdefault(r["id"], []).append([x for bands in r[1:] for x in bands if x is not None])
+        for n, s in sets:
+            runs = [run for run in (8, 4, 2, 1) if n >= (2.5 * run if run > 1 else 0) and (run == 8 or n * 0.8 < 5 * run)]
+            want = 0
+            for run in runs:  # distinct places where a run after some anchor begins
+                for k, anchors in ((0, line_dedup.ANCHORS), *((k, 6) for k in line_dedup.SHIFTS)):
+                    ring = [((x << k & (1 << 64) - 1) ^ 1 << 63) - (1 << 63) for x in s]
+                    want += len({sum(x < a for x in ring) % n for a in line_dedup._places(anchors)})
+            assert sum(map(len, found[n])) == sum(len(set(x)) for x in found[n]) == want, n
+
+
 def fast_groups(texts):
     """Groups of texts whose shingles do not repeat, by plain Jaccard similarity."""
     grams = []
