@@ -19,7 +19,9 @@ attached before giant documents are split); null ids stay null. Empty tables giv
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,9 @@ MARK = "▁"
 CHUNK = 16384
 #: Chunks, or blocks of them, whose matrices one task combines.
 FAN = 64
-#: Workers of several stages stay alive side by side in an executor, so what each remembers is small.
-MEMO_UNITS, MEMO_WORDS, MEMO_PAIRS = 200_000, 100_000, 500_000
+#: Workers of several stages stay alive side by side in an executor, so what each remembers is small. Units and words have two generations of
+#: so many: a full one becomes the old one, from which what is asked for again comes back.
+MEMO_UNITS, MEMO_WORDS, MEMO_PAIRS = 150_000, 100_000, 500_000
 _START, _CUT = -1, -2
 _NEVER = 1 << 62
 
@@ -64,11 +67,23 @@ class Pieces:
         self.spans = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         self.marks_lead = not any(a != MARK and b == MARK for a, b in self.spans)
         self.left, self.right = self._chains()
-        self.begins = {p[:n]: -1 for p, k in self.id.items() if k in self.left for n in range(1, len(p))}
-        self.begins |= {p: k for p, k in self.id.items() if k in self.left}
+        #: Usable pieces by their characters: a node is its piece, or -1, and the nodes that follow.
+        self.tree: tuple[int, dict] = (-1, {})
+        for p, k in sorted(self.id.items(), key=lambda x: -len(x[0])):
+            if k in self.left:
+                self._plant(p, k)
         self.pairs: dict[int, bool] = {}
         self.units: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_units: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+
+    def _plant(self, piece: str, k: int) -> None:
+        """Longer pieces come first, so the nodes of a piece's own beginnings are there when it ends on one of them."""
+        after = self.tree[1]
+        for c in piece[:-1]:
+            after = after.setdefault(c, (-1, {}))[1]
+        after[piece[-1]] = (k, after.get(piece[-1], (-1, {}))[1])
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """BPE by definition: the best-ranked, then leftmost pair merges until none is left. Symbols, and the parts of the last merge."""
@@ -151,16 +166,19 @@ class Pieces:
         Pieces are tried from each place that a path reaches, in order, for as long as some piece begins with the characters.
         """
         table = {start: (last, start, 0)}
-        begins, known, pairs = self.begins.get, self.id, self.pairs
+        top, longest, known, pairs = self.tree[1], self.longest, self.id, self.pairs
         for q in range(start, end):
             before = table.get(q)
             if before is None:
                 continue
             piece, _, n = before
-            for p in range(q + 1, end + 1):
-                k = begins(text[q:p])
-                if k is None:
+            after, p = top, q
+            for c in text[q : min(end, q + longest)]:
+                node = after.get(c)
+                if node is None:
                     break
+                k, after = node
+                p += 1
                 if k >= 0 and p not in table:
                     fits = True if piece < 0 else pairs.get(piece << 20 | k)
                     if fits is None:
@@ -184,15 +202,23 @@ class Pieces:
         """Ids (uint32) of a text that begins and ends where no piece can span, remembered."""
         found = self.units.get(text)
         if found is None:
-            if len(self.units) > MEMO_UNITS:
-                self.units.clear()
-            table = self.walk(text, 0, _START, len(text))
-            found = self.units[text] = np.array(self.trace(text, table, 0, len(text)), "<u4").tobytes()
+            if len(self.units) >= MEMO_UNITS:
+                self.old_units, self.units = self.units, {}
+            found = self.old_units.get(text)
+            if found is None:
+                whole = self.id.get(text)
+                if whole in self.left:  # a path of one piece
+                    ids = [whole]
+                else:
+                    ids = self.trace(text, self.walk(text, 0, _START, len(text)), 0, len(text))
+                found = struct.pack(f"<{len(ids)}I", *ids)
+            self.units[text] = found
         return found
 
-    def cuts(self, text: str, a: int, b: int) -> list[int]:
-        """Places in [a, b] of a text where no piece can span the characters on both sides."""
-        return [p for p in range(max(1, a), min(b, len(text) - 1) + 1) if text[p - 1 : p + 1] not in self.spans]
+    def cut(self, text: str, places: range) -> int:
+        """The first of these inner places of a text where no piece can span the characters on both sides; -1 without one."""
+        spans = self.spans
+        return next((p for p in places if text[p - 1 : p + 1] not in spans), -1)
 
     def between_cuts(self, text: str) -> bytes:
         """Ids of a stretch between two cuts."""
@@ -208,19 +234,21 @@ class Pieces:
             return b"".join(map(memo.__getitem__, words))
         except KeyError:
             pass
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
+        if len(memo) >= MEMO_WORDS:
+            self.old_words, self.words = memo, {}
+            memo = self.words
+        old = self.old_words.get
         for w in {*words}:
             if w not in memo:
-                memo[w] = self._units(MARK + w)
+                memo[w] = old(w) or self._units(MARK + w)
         return b"".join(map(memo.__getitem__, words))
 
     def _units(self, text: str) -> bytes:
-        spans, out, a = self.spans, [], 0
-        for p in range(1, len(text)):
-            if text[p - 1 : p + 1] not in spans:
-                out.append(self.unit(text[a:p]))
-                a = p
+        spans, known, out, a = self.spans, self.units.get, [], 0
+        for p in [p for p, x in enumerate(map(add, text, text[1:]), 1) if x not in spans]:
+            part = text[a:p]
+            out.append(known(part) or self.unit(part))
+            a = p
         out.append(self.unit(text[a:]))
         return b"".join(out)
 
@@ -252,7 +280,7 @@ class Pieces:
         """The transfer matrix of text[a:b] in its context: state at a -> state at b -> minus the tokens between (absent: minus infinity);
         its first and last inner cut, and the ids between them, which no state changes. Without a cut the places are -1."""
         entries = [_START] if a == 0 else self.states(text, a)
-        inner = self.cuts(text, a + 1, b - 1)
+        first = self.cut(text, range(a + 1, b))
         ends = self.states(text, b) if b < len(text) else None
 
         def out(table: dict) -> dict[int, int]:
@@ -265,9 +293,9 @@ class Pieces:
             return found
 
         reach = min(len(text), b + self.longest - 1)
-        if not inner:
+        if first < 0:
             return {s: out(self.walk(text, *self._from(s, a), reach)) for s in entries}, -1, -1, b""
-        first, last = inner[0], inner[-1]
+        last = self.cut(text, range(b - 1, a, -1))
         right = out(self.walk(text, last, _CUT, reach))
         middle = self.between_cuts(text[first:last])
         matrix = {}

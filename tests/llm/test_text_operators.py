@@ -328,3 +328,19 @@ def test_piece_documents(spark, docs_of, vocabulary):
 
 def test_no_result_depends_on_hidden_state():
     assert hashlib.sha256(repr(secrets.find_secrets("token = 0123456789abcdef0123")).encode()).hexdigest() == hashlib.sha256(repr(secrets.find_secrets("token = 0123456789abcdef0123")).encode()).hexdigest()
+
+
+def test_full_memos_forget_no_frequent_word(monkeypatch):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    monkeypatch.setattr(piece_scan, "MEMO_WORDS", 40)
+    monkeypatch.setattr(piece_scan, "MEMO_UNITS", 40)
+    pieces, library, walked = piece_scan.Pieces(path), sentencepiece.SentencePieceProcessor(model_file=path), []
+    units = pieces._units
+    monkeypatch.setattr(pieces, "_units", lambda text: walked.append(text) or units(text))
+    for k in range(300):
+        text = f"frequently x{k * 7919}q seen-{k}ly"
+        assert list(memoryview(pieces.encode(text)).cast("I")) == library.encode(text)
+    assert walked.count(piece_scan.MARK + "frequently") == 1
+    assert max(map(len, (pieces.words, pieces.old_words, pieces.units, pieces.old_units))) < 60
