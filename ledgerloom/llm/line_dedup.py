@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import components
 from ledgerloom.llm.common import fresh, session
-from ledgerloom.llm.components import fits, link, shared_buckets
+from ledgerloom.llm.components import first_met, fits, link, shared_buckets
 from ledgerloom.runtime import forget, later, scratch_path, written
 
 SHINGLE = 5
@@ -161,11 +161,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # v: the shingles that others have too, rarest first; all others come before them
         ordered = every.join(shared, "x").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("v"))
         # similar sets share one of those that come before the last SIMILARITY of the set
-        first = ordered.select("id", "size", F.size("v").alias("others"), F.posexplode(F.expr(f"slice(v, 1, greatest(size(v) - cast(ceil({similarity} * size - 1e-6) as int) + 1, 0))")).alias("k", "v"))
+        first = ordered.select("id", "size", F.size("v").alias("others"), F.expr(f"transform(slice(v, 1, greatest(size(v) - cast(ceil({similarity} * size - 1e-6) as int) + 1, 0)), v -> v.x)").alias("v"))
+        placed = first.select("id", "size", "others", "v", F.posexplode("v").alias("k", "bucket"))
+        before = F.expr(f"slice(v, greatest(k - {components.BEFORE}, 0) + 1, least(k, {components.BEFORE}))").alias("before")
         n = F.col("others") - F.col("k")
-        filed = written(spark, first.select(F.col("v.x").alias("bucket"), "id", (n / F.col("size")).alias("left"), n.alias("n"), (1 / F.col("size")).alias("top")), "filed")
+        filed = written(spark, placed.select("bucket", "id", (n / F.col("size")).alias("left"), n.alias("n"), (1 / F.col("size")).alias("top"), before), "filed")
         forget(spark, asked)
-        return filed, fits("a", "b", similarity)
+        return filed, fits("a", "b", similarity) & first_met("a", "b")
 
     labels = link(members, verify, [again])
     forget(spark, members, sets)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import components
 from ledgerloom.llm.common import fresh, ready, rows_of, session
-from ledgerloom.llm.components import fits, link, shared_buckets
+from ledgerloom.llm.components import first_met, fits, link, shared_buckets
 from ledgerloom.llm.skew import lookup
 from ledgerloom.runtime import forget, later, written
 
@@ -159,6 +159,15 @@ def rarest_first(h: np.ndarray, weight: np.ndarray, often: np.ndarray, similarit
     return h[use], left[use], np.arange(len(h), 0, -1)[use], float(p.max())
 
 
+def preceding(h: np.ndarray) -> pa.ListArray:
+    """For every place in h, the values just before it, components.BEFORE at most."""
+    n = np.minimum(np.arange(len(h)), components.BEFORE)
+    ends = np.cumsum(n)
+    within = np.arange(n.sum()) - np.repeat(ends - n, n)
+    values = h.view(np.int64)[np.repeat(np.arange(len(h)) - n, n) + within]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values))
+
+
 def _bloom_places(keys: list[bytes], bits: int) -> np.ndarray:
     h = np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64)
     step = _mix(h + _M1) | np.uint64(1)
@@ -265,11 +274,11 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
             for batch in batches:
                 for i, data in zip(*rows_of(batch, "id", "packed"), strict=True):
                     h, left, n, top = rarest_first(*unpack(data), shared.value, similarity)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([i] * len(h), pa.binary()), pa.array(left), pa.array(n), pa.array(np.full(len(h), top))], ["bucket", "id", "left", "n", "top"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([i] * len(h), pa.binary()), pa.array(left), pa.array(n), pa.array(np.full(len(h), top)), preceding(h)], ["bucket", "id", "left", "n", "top", "before"])
 
-        filed = written(spark, asked.mapInArrow(rarest, "bucket long, id binary, left double, n long, top double"), "filed")
+        filed = written(spark, asked.mapInArrow(rarest, "bucket long, id binary, left double, n long, top double, before array<long>"), "filed")
         forget(spark, asked)
-        return filed, fits("a", "b", similarity)
+        return filed, fits("a", "b", similarity) & first_met("a", "b")
 
     if sets is None:
         return signed, classes.select("id", "doc_id", "n", F.col("id").alias("label"))

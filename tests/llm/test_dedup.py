@@ -136,6 +136,44 @@ def test_a_filing_meets_inside_the_buckets_given_alone(spark, monkeypatch):
     assert max(tables) <= 20 * 12 * 11 / 2, max(tables)  # 240 ids make 28,680 pairs
 
 
+def test_a_filing_is_not_repeated_for_every_bucket_given(spark, monkeypatch):
+    tables, write = [], components.written
+
+    def counting(spark, df, name):
+        out = write(spark, df, name)
+        if name == "filed":
+            tables.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "written", counting)
+    members = written(spark, spark.createDataFrame([(b, v) for b in range(30) for v in range(20)], "bucket long, id long"), "m")
+    again = lambda ids: written(spark, ids.select(F.explode(F.sequence(F.col("id") - 1, F.col("id"))).alias("bucket"), "id"), "again")
+    got = {r["id"]: r["label"] for r in components.link(members, lambda pairs: pairs.filter("a = b + 1 AND b > 0"), [again]).collect()}
+    assert got == {v: 1 for v in range(1, 20)}
+    assert tables and max(tables) <= 40, tables  # two rows an id
+
+
+@pytest.mark.parametrize("what", ["lines", "documents"])
+def test_a_pair_of_a_filing_meets_once(docs_of, monkeypatch, what):
+    met, link = [], components.link
+    module = line_dedup if what == "lines" else probminhash
+
+    def catching(members, verify, refile):
+        filed, condition = refile[0](members.select("id").distinct())
+        rows = filed.alias("a").join(filed.alias("b"), F.col("a.bucket") == F.col("b.bucket")).filter("a.id < b.id").filter(condition).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
+        met.append((rows.count(), rows.distinct().count()))
+        return link(members, verify, refile)
+
+    monkeypatch.setattr(module, "link", catching)
+    texts = edited_family(60, 40, 3, 7) if what == "lines" else edited_family(60, 150, 3, 6)
+    if what == "lines":
+        assert kept_by_operator(docs_of, texts) == kept_by_grams(texts)
+    else:
+        assert {r["doc_id"]: r["group_id"] for r in probminhash.group_documents(docs_of(list(enumerate(texts)))).collect()} == fast_groups(texts)
+    (rows, pairs), = met
+    assert 0 < rows <= 1.2 * pairs, met
+
+
 def test_turns_have_every_band_once(spark):
     sets = [(n, sorted(R.randrange(-(1 << 63), 1 << 63) for _ in range(n))) for n in (1, 2, 3, 5, 9, 19, 20, 21, 40, 60, 255, 256, 700)]
     df = spark.createDataFrame(sets, "id long, s array<long>")
