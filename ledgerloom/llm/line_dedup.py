@@ -52,7 +52,7 @@ def _norm(line: Column) -> Column:
 def _hashes(norm: str) -> str:
     """SQL of the hashes of a line's shingles, with repetitions. UTF-32 makes a window a slice at a known place."""
     windows = f"transform(sequence(1, greatest(length(u) - {4 * SHINGLE - 4}, 1), 4), k -> xxhash64(substring(u, k, {4 * SHINGLE})))"
-    return f"flatten(transform(array(encode({norm}, 'UTF-32')), u -> {windows}))"
+    return f"get(transform(array(encode({norm}, 'UTF-32')), u -> {windows}), 0)"
 
 
 def _set(norm: str) -> str:
@@ -61,7 +61,7 @@ def _set(norm: str) -> str:
 
 def _sorted(lines: DataFrame) -> DataFrame:
     """lines with s, the sorted distinct hashes of norm's shingles, in place of norm."""
-    return lines.withColumn("s", F.expr(f"array_distinct(sort_array({_hashes('norm')}))")).drop("norm")
+    return lines.withColumn("s", F.expr(f"sort_array(array_distinct({_hashes('norm')}))")).drop("norm")
 
 
 def _classes(rows: int, similarity: float) -> list[tuple[int, str]]:
@@ -81,27 +81,27 @@ def _places(anchors: int) -> list[int]:
     return [k * step + step // 3 - (1 << 63) for k in range(anchors)]
 
 
-def _banded(sets: DataFrame, permutations: list[tuple[str, int]], rows: int, similarity: float, turns: int) -> DataFrame:
-    """id and arrays of bucket keys (or nulls), one for each turn, of sets (id, s). permutations: SQL of the array of s that each orders, and its anchors.
+def _banded(sets: DataFrame, permutations: list[tuple[str, int]], rows: int, similarity: float, turns: int, sized: bool = False) -> DataFrame:
+    """id and arrays of bucket keys (or nulls), one for each turn, of sets (id, s); sized: size, too, that of s. permutations: SQL of the array of s that each orders, and its anchors.
 
     Each projection has a function that code generation leaves out: the generated code of a whole stage would be one method too long to
     be compiled, while projections by themselves are split into short ones.
     """
     own = F.expr("get(transform(array(id), x -> x), 0)").alias("id")
-    names = range(len(permutations))
+    names, size = range(len(permutations)), ["size"] if sized else []
     runs = ", ".join(f"CASE WHEN {within} THEN array({run}) ELSE cast(array() as array<int>) END" for run, within in _classes(rows, similarity))
-    filed = sets.select("id", "s", F.expr(f"explode(concat({runs}))").alias("run"))
-    ordered = filed.select("id", "run", *[F.expr(p if p == "s" else f"sort_array({p})").alias(f"p{k}") for k, (p, _) in enumerate(permutations)])  # s is sorted
+    filed = sets.select("id", *[F.size("s").alias(c) for c in size], "s", F.expr(f"explode(concat({runs}))").alias("run"))
+    ordered = filed.select("id", *size, "run", *[F.expr(p if p == "s" else f"sort_array({p})").alias(f"p{k}") for k, (p, _) in enumerate(permutations)])  # s is sorted
     marks = [f"array({', '.join(f'{a}L' for a in _places(n))})" for _, n in permutations]
-    ring = ordered.select(own, "run", *[F.expr(f"size(p{k})").alias(f"n{k}") for k in names], *[F.expr(f"concat(p{k}, slice(p{k}, 1, {rows}))").alias(f"r{k}") for k in names], *[F.expr(f"sort_array(concat(p{k}, {marks[k]}))").alias(f"m{k}") for k in names])
+    ring = ordered.select(own, *size, "run", *[F.expr(f"size(p{k})").alias(f"n{k}") for k in names], *[F.expr(f"concat(p{k}, slice(p{k}, 1, {rows}))").alias(f"r{k}") for k in names], *[F.expr(f"sort_array(concat(p{k}, {marks[k]}))").alias(f"m{k}") for k in names])
     # of the anchor's place among values and anchors, the anchors before it are taken off: that is where its run begins
     at = {(k, j): F.expr(f"cast(array_position(m{k}, {a}L) as int) - {j}").alias(f"b{k}_{j}") for k, (_, n) in enumerate(permutations) for j, a in enumerate(_places(n))}
-    begins = ring.select(own, "run", *[x for k in names for x in (f"n{k}", f"r{k}")], *at.values())
+    begins = ring.select(own, *size, "run", *[x for k in names for x in (f"n{k}", f"r{k}")], *at.values())
     # anchors without a value between them have one run, and those past the last value have the first one's
     new = lambda k, j: f"n{k} > 0" + (f" AND b{k}_{j} <> b{k}_{j - 1} AND (b{k}_{j} <= n{k} OR b{k}_0 > 1)" if j else "")
-    keyed = begins.select(own, *[F.expr(f"CASE WHEN {new(k, j)} THEN xxhash64({k}, run, slice(r{k}, b{k}_{j}, run)) END").alias(f"k{k}_{j}") for k, j in at])
+    keyed = begins.select(own, *size, *[F.expr(f"CASE WHEN {new(k, j)} THEN xxhash64({k}, run, slice(r{k}, b{k}_{j}, run)) END").alias(f"k{k}_{j}") for k, j in at])
     dealt = [[f"k{k}_{j}" for k, j in at][t::turns] for t in range(turns)]
-    return keyed.select(own, *[F.array(*mine).alias(f"bands{t}") for t, mine in enumerate(dealt)])
+    return keyed.select(own, *size, *[F.array(*mine).alias(f"bands{t}") for t, mine in enumerate(dealt)])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, drop_emptied: bool = False) -> DataFrame:
@@ -137,21 +137,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return found.select(F.col("w.id").alias("id"), _norm(F.expr("get(lines, w.line_no)")).alias("norm"))
 
     small = [(f"transform(CASE WHEN size(s) < {SMALL} THEN s ELSE cast(array() as array<bigint>) END, x -> coalesce(shiftleft(x, {k}), 0L))", SMALL_ANCHORS) for k in SHIFTS]
-    bands = written(spark, _banded(_sorted(lines_of(first)), [("s", ANCHORS), *small], ROWS, similarity, components.TURNS), "bands")
+    bands = written(spark, _banded(_sorted(lines_of(first)), [("s", ANCHORS), *small], ROWS, similarity, components.TURNS, sized=True), "bands")
     forget(spark)
-    members = shared_buckets(bands)
-    forget(spark, bands)
+    members = shared_buckets(bands.drop("size"))
 
     # The candidates' lines and the sizes of their shingle sets (the sets are several times larger than the lines), and verification.
-    wanted = first.join(members.select("id").distinct(), "id", "left_semi")
-    sets = written(spark, lines_of(wanted).withColumn("n", F.expr(f"size({_set('norm')})")), "line-sets")
-    forget(spark)
+    met = members.select("id").distinct()
+    sizes = bands.select("id", F.col("size").alias("n")).join(met, "id", "left_semi").distinct()  # a set filed by two runs has two rows
+    sets = written(spark, lines_of(first.join(met, "id", "left_semi")).join(sizes, "id"), "line-sets")
+    forget(spark, bands)
 
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = (sets.select(F.col("id").alias(x), F.col("norm").alias(f"norm_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
         both = pairs.join(left, "a").join(right, "b").filter(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b"))  # no pair of other sizes can be as similar
-        shared = F.expr(f"array(size(array_intersect({_set('norm_a')}, {_set('norm_b')})))")
-        return both.filter(F.exists(shared, lambda x: x >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - x))).select("a", "b")
+        # of shared >= similarity * (n_a + n_b - shared), with shared once: a lambda about it would have it computed without generated code
+        shared = F.expr(f"size(array_intersect({_hashes('norm_a')}, {_hashes('norm_b')}))")
+        return both.filter(shared * F.lit(1 + similarity) + 1e-9 >= F.lit(similarity) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
     def again(ids: DataFrame) -> tuple[DataFrame, Column]:
         """Lines by the rarest of their shingles, which all lines that are similar share; common ones of the lines asked for come last."""

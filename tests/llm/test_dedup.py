@@ -280,6 +280,29 @@ def test_near_equal_lines_by_character_grams(docs_of):
     assert kept_by_operator(docs_of, texts) == want
 
 
+def test_candidates_are_hashed_once_and_compared_by_generated_code(docs_of, monkeypatch):
+    """Sizes of sets come from the bands, and shared shingles are counted outside of lambdas. Pairs at just 0.8 are linked, those under it are not."""
+    plans, write = {}, line_dedup.written
+
+    def noting(spark, df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().analyzed().toString())
+        return write(spark, df, name)
+
+    monkeypatch.setattr(line_dedup, "written", noting)
+    monkeypatch.setattr(components, "written", noting)
+    texts, own = [], random.Random(8)
+    for k in range(16):  # of 40 shingles in all 32 are shared, or of 41 only 31
+        line = "".join(own.sample("abcdefghijklmnopqrstuvwxyz0123456789äöüßéèàç", 40))
+        texts += [line, line[:36] + "+-=*" if k % 2 else line[:35] + "+-=*#"]
+    texts += ["aaaa bbbb " * 9, "aaaa bbbb " * 30, "ab", "ba"]
+    want = kept_by_grams(texts)
+    assert [k for k in range(1, 32, 2) if k in want] == list(range(1, 32, 4)) and 33 not in want
+    assert kept_by_operator(docs_of, texts) == want
+    (sets,) = plans["line-sets"]
+    assert "xxhash64" not in sets, sets
+    assert plans["links"] and not any("exists(" in p for p in plans["links"])
+
+
 def test_recall_of_edited_lines(docs_of):
     """Pairs of lines at 0.8 to 0.86, of any length: at least 0.95 are found."""
     texts, found = [], 0
